@@ -23,13 +23,13 @@ from .ngrams import term_frequencies
 from .perceptron import Perceptron
 
 #: Rows of clean text on which the perceptrons are trained, and the most words of them for the character editor.
-TRAIN_ROWS, TRAIN_WORDS = 600, 4_000
+TRAIN_ROWS, TRAIN_WORDS = 1_200, 4_000
 #: A line of prose that goes on in the next line: what a page's layout leaves and an author's paragraph doesn't have.
 WRAPPED = r"[^\n]{25,}\n[^\n#\[|>$-]"
 BREAK_MARKS = "-¬­‐‑"
 #: What a scanner reads for what was printed.
 MISREADINGS = [
-    ("o", "0"), ("l", "1"), ("i", "l"), ("i", "1"), ("s", "5"), ("e", "c"), ("t", "f"), ("h", "b"), ("g", "q"), ("m", "rn"), ("m", "in"), ("d", "cl"), ("u", "ii"), ("w", "vv"),
+    ("o", "0"), ("l", "1"), ("i", "l"), ("i", "1"), ("s", "5"), ("e", "c"), ("t", "f"), ("h", "b"), ("g", "q"), ("m", "rn"), ("m", "in"), ("d", "cl"), ("u", "ii"), ("w", "vv"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ff", "ﬀ"), ("ffi", "ﬃ"), ("ffl", "ﬄ"),
     ("in", "m"), ("rn", "m"), ("cl", "d"), ("c", "e"), ("b", "h"), ("n", "ri"), ("l", "i"), ("ii", "u"), ("f", "t"), ("q", "g"),
     ("0", "O"), ("1", "l"), ("5", "S"), ("8", "B"), ("0", "o"), ("1", "I"), ("O", "0"), ("I", "l"), ("S", "5"), ("B", "8"),
 ]
@@ -112,6 +112,8 @@ def line_features(lines: list[str], pages: int) -> list[list[str]]:
         start = next((x for x in ("lower", "code", "unit", "start_number", "digit", "opener", "upper") if own[x]), "none")
         end = "broken" if own["broken"] else "closed" if own["sentence_end"] else "open"
         mark = ",".join(x for x in ("year", "et_al", "bar", "end_number", "start_number", "abbreviations", "caps") if own[x])
+        next_start = next((x for x in ("lower", "code", "unit", "digit", "opener", "upper") if after.get(x)), "none")
+        at += [f"t{length},{end},{next_start},{gap_after}", f"t{length // 2},{end},{next_start},{beside},{start}"]
         out.append(
             ["bias", *at, f"len{length}", f"n{own['number']}{own['bare']}{numbers}", f"s{start},{end},{closed}", f"s{start},{end},{beside},{length // 3}", f"s{start},{closed},{goes_on},{beside}"]
             + [f"m{mark}", f"m{mark},{beside}", f"m{mark},{closed},{end}", f"g{gap_before}{gap_after},{start},{end},{closed},{beside}", f"p{pages > 1},{beside},{start},{end}", f"b{beside},{own['number']},{goes_on}"]
@@ -228,7 +230,7 @@ def noisy_page(text: str, titles: list[str], rng: random.Random) -> tuple[list[s
             else:
                 line = f"{line} {word}" if line else word
         put(line)
-    places = [i for i in range(2, len(lines)) if kinds[i] == "text" and lines[i - 1] and not lines[i].startswith("#")]
+    places = [i for i in range(2, len(lines)) if kinds[i] == "text" and not lines[i].startswith("#") and (lines[i - 1] or rng.random() < 0.5)]
     if rng.random() < 0.12:
         put("")
         put(rng.choice(["Counts per run:", "Values:", "Runs per day:"]))
