@@ -25,7 +25,7 @@ from .perceptron import Perceptron
 #: Rows of clean text on which the perceptrons are trained, and the most words of them for the character editor.
 TRAIN_ROWS, TRAIN_WORDS = 1_200, 4_000
 #: A line of prose that goes on in the next line: what a page's layout leaves and an author's paragraph doesn't have.
-WRAPPED = r"[^\n]{25,}\n[^\n#\[|>$-]"
+WRAPPED = r"(?<=[^\n]{25})\n[^\n#\[|>$-]"
 BREAK_MARKS = "-¬­‐‑"
 #: What a scanner reads for what was printed.
 MISREADINGS = [
