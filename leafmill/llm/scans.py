@@ -355,6 +355,15 @@ def repairs(words: DataFrame, lexicon: DataFrame, editor: Perceptron) -> DataFra
     return kept.groupBy("word").agg(F.max_by("form", rank).alias("repaired"), F.max_by("place", rank).alias("place"))
 
 
+def training_texts(df: DataFrame, row_id: str, text: str) -> list[str]:
+    """At most ``TRAIN_ROWS`` texts, those with the lowest hashes; a threshold keeps all but some hundreds in their tasks."""
+    filled = df.where(F.length(text) > 0)
+    rows, order = filled.count(), F.pmod(F.xxhash64(row_id), F.lit(1_000_000))
+    if rows > 4 * TRAIN_ROWS:
+        filled = filled.where(order < F.lit(int(1_000_000 * 2 * TRAIN_ROWS / rows) + 1))
+    return [row[0] for row in filled.select(text, order.alias("order"), F.col(row_id).alias("key")).orderBy("order", "key").limit(TRAIN_ROWS).collect()]
+
+
 def page_traces(df: DataFrame, row_id: str = "row_id", text: str = "text", page_start: str = "page_start", page_end: str = "page_end") -> DataFrame:
     """(row_id, line_no, kind, word, repaired) of every trace a scanned page left in a text.
 
@@ -368,10 +377,9 @@ def page_traces(df: DataFrame, row_id: str = "row_id", text: str = "text", page_
     """
     flagged = df.withColumn("_scanned", scanned(df, text, page_start, page_end))
     clean = flagged.where(~F.col("_scanned"))
-    sample = clean.where(F.length(text) > 0).select(row_id, text).orderBy(F.xxhash64(row_id), row_id).limit(TRAIN_ROWS)
-    texts = [row[1] for row in sample.collect()]
+    texts = training_texts(clean, row_id, text)
     if not texts:
-        texts = [row[1].replace("\n", " ") for row in df.where(F.length(text) > 0).select(row_id, text).orderBy(row_id).limit(TRAIN_ROWS).collect()]
+        texts = [value.replace("\n", " ") for value in training_texts(df, row_id, text)]
     models = train(texts)
     lexicon = term_frequencies(clean.select(text), [text], 1).select("term", "records")
     lexicon = cut_lineage(lexicon)
