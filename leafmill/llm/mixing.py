@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 from .tokens import token_count
 
 #: Documents of a source that one bucket of the shuffled order holds on average.
@@ -36,6 +36,7 @@ def finish_times(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: s
     own = targets.groupBy(targets[source].alias("source")).agg(F.max("target_share").cast("double").alias("weight"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("repeats")).where("weight > 0 AND repeats > 0")
     docs = df.select(df[key].alias("key"), df[source].alias("source"), token_count(df[text].cast("string")).alias("tokens"))
     docs = docs.where("tokens > 0").join(own.select("source"), "source", "left_semi").withColumn("shuffle", _order("key", seed))
+    docs = cut_lineage(docs)  # texts are counted once; from here on a document is a few numbers
     rows = docs.count()
     buckets = max(1, -(-rows // BUCKET_ROWS))
     docs = docs.withColumn("bucket", F.floor(F.col("shuffle") * buckets))
