@@ -32,6 +32,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{BLANK}]+", " "))
 
 
+def squeeze_ends(text: Column) -> Column:
+    """A text without blanks and line breaks at its ends."""
+    return F.regexp_replace(text, rf"\A[{BLANK}]+|[{BLANK}]+\z", "")
+
+
 def normalize_doi(value: Column) -> Column:
     """The DOI in a text in lower case without a closing dot; where there is none, the trimmed lower-case text."""
     text = F.lower(F.trim(value))
