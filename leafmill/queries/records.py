@@ -45,9 +45,9 @@ def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_semi(spark: SparkSession, d: str) -> DataFrame:
-    """Search results whose DOI the manifest has."""
-    results = table(spark, d, "search_results").withColumn("d", T.normalize_doi(F.col("doi"))).where("d <> ''")
-    return results.join(_manifest(spark, d).select(F.col("doi").alias("d")), "d", "left_semi").select("result_id")
+    """Parsed documents whose DOI an entry has."""
+    parsed = table(spark, d, "manifests").withColumn("d", T.normalize_doi(F.col("doi"))).where("d <> ''")
+    return parsed.join(_manifest(spark, d).select(F.col("doi").alias("d")), "d", "left_semi").select("doc_id", "citation_key", "created_at")
 
 
 def dedup_anti(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +183,7 @@ SQL = {
     "title_norm_dedup_first": f"WITH {_M} SELECT title_norm, key, pos FROM (SELECT *, row_number() OVER (PARTITION BY title_norm ORDER BY pos, key) rn FROM m) WHERE rn = 1",
     "last_per_key": "SELECT entry_key, field, change_id, new_value FROM (SELECT *, row_number() OVER (PARTITION BY entry_key, field ORDER BY changed_at DESC, change_id DESC) rn FROM bib_changes WHERE changed_at IS NOT NULL) WHERE rn = 1",
     "duplicate_ids": "SELECT chunk_id, row_id, CAST(nth AS INTEGER) nth FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY row_id) nth FROM chunks) WHERE nth > 1",
-    "dedup_semi": f"WITH {_M} SELECT result_id FROM search_results WHERE doi IS NOT NULL AND {_doi('search_results.doi')} <> '' AND {_doi('search_results.doi')} IN (SELECT doi FROM m)",
+    "dedup_semi": f"WITH {_M} SELECT doc_id, citation_key, created_at FROM manifests WHERE doi IS NOT NULL AND {_doi('manifests.doi')} <> '' AND {_doi('manifests.doi')} IN (SELECT doi FROM m)",
     "dedup_anti": f"WITH {_M}, r AS (SELECT result_id, {_doi(chr(99) + 'oalesce(doi, ' + chr(39) * 2 + ')')} d, {_arxiv(chr(99) + 'oalesce(arxiv, ' + chr(39) * 2 + ')')} a FROM search_results) SELECT result_id FROM r WHERE (d <> '' OR a <> '') AND NOT EXISTS (SELECT 1 FROM m WHERE m.doi <> '' AND m.doi = r.d) AND NOT EXISTS (SELECT 1 FROM m WHERE m.arxiv <> '' AND m.arxiv = r.a)",
     "multikey_match": f"WITH {_C}, e AS ({_keys('c')}), i AS ({_keys('c')}), first AS (SELECT kind, v, arg_min(key, (pos, key)) existing_key FROM e GROUP BY ALL) SELECT key, pos, kind match_kind, existing_key FROM (SELECT i.key, i.pos, i.kind, existing_key, row_number() OVER (PARTITION BY i.key, i.pos ORDER BY priority) rn FROM i JOIN first USING (kind, v)) WHERE rn = 1",
     "unique_keys": f"WITH {_M}, b AS (SELECT *, coalesce(lower(regexp_extract(authors[1], '^([\\p{{L}}]+)', 1)), '') || year base FROM m), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY pos, key) n FROM b) SELECT key, pos, CASE WHEN n = 1 THEN base ELSE base || '-' || n END unique_key FROM n",
