@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import fixed_values as V
 from ..functions import text as T
@@ -30,7 +31,7 @@ def lookup(mentions: DataFrame, terms: DataFrame, column: str = "raw_term") -> D
     return mentions.withColumn("name", F.lower(F.trim(column))).join(side, "name", "left").select(mentions["*"], F.col("hit.canonical_id").alias("found_id"), F.col("hit.label").alias("found_label"), F.col("hit.category").alias("found_category"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(one: pd.Series, other: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two strings."""
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(one, other, strict=True)])
