@@ -182,20 +182,21 @@ class _Search:
             return
         doc_at, item_at = self.candidates(symbols, np.concatenate(parts))
         width = np.arange(WINDOW)
-        close = np.zeros(len(doc_at), dtype=bool)
+        edits = np.zeros(len(doc_at), dtype=np.int64)
         for i in range(0, len(doc_at), 200_000):
             block = slice(i, i + 200_000)
-            close[block] = _window_edits(symbols[doc_at[block, None] + width], self.symbols[item_at[block, None] + width]) <= WINDOW_EDITS
-        doc_at, item_at = doc_at[close], item_at[close]
+            edits[block] = _window_edits(symbols[doc_at[block, None] + width], self.symbols[item_at[block, None] + width])
+        close = edits <= WINDOW_EDITS
+        doc_at, item_at, edits = doc_at[close], item_at[close], edits[close]
         doc_no = np.searchsorted(offsets, doc_at, "right") - 1
         item_no = np.searchsorted(self.offsets, item_at, "right") - 1
         hits = defaultdict(list)
-        for d, i, p, q in zip(doc_no.tolist(), item_no.tolist(), (doc_at - offsets[doc_no]).tolist(), (item_at - self.offsets[item_no]).tolist(), strict=True):
-            hits[d, i].append((p, q))
+        for d, i, p, q, e in zip(doc_no.tolist(), item_no.tolist(), (doc_at - offsets[doc_no]).tolist(), (item_at - self.offsets[item_no]).tolist(), edits.tolist(), strict=True):
+            hits[d, i].append((e, p, q))
         for (d, i), seeds in hits.items():
             words, item = encoded[d], self.words[i]
             fragments: list[tuple[int, int, int, int, int]] = []
-            for p, q in sorted(seeds):
+            for _, p, q in sorted(seeds):  # the best aligned first
                 if any(a <= p < b and c <= q < e and abs((p - a) - (q - c)) <= BAND for a, b, c, e, _ in fragments):
                     continue
                 forward, doc_forward, matches = _grow(item[q:], words[p : p + len(item) + BAND])

@@ -23,8 +23,9 @@ class Perceptron:
         return found
 
     def predict(self, features: Sequence[Hashable], labels: Sequence[Hashable] | None = None) -> Hashable:
+        """The best label; None where nothing has been learnt."""
         found = self.scores(features, labels)
-        return max(found, key=lambda label: (found[label], str(label)))
+        return max(found, key=lambda label: (found[label], str(label)), default=None)
 
     def fit(self, examples: list[tuple[Sequence[Hashable], Hashable, Sequence[Hashable] | None]], epochs: int = 4, seed: int = 5) -> Perceptron:
         """Examples are (features, label, permitted labels or None for all)."""

@@ -289,7 +289,7 @@ def train(texts: list[str], seed: int = 3) -> tuple[Perceptron, Perceptron, Perc
 def _lines_of(row_id, text: str, pages: int, kinds: Perceptron, joins: Perceptron) -> Iterator[tuple]:
     """(row_id, line_no, kind, words, left, right, right_line, guess) of each line; left and right are a broken word's parts."""
     lines = [line.rstrip("\r") for line in text.split("\n")]
-    found = [kinds.predict(f) if line.strip() else "text" for f, line in zip(line_features(lines, pages), lines, strict=True)]
+    found = [(kinds.predict(f) or "text") if line.strip() else "text" for f, line in zip(line_features(lines, pages), lines, strict=True)]
     body = [i for i, (line, kind) in enumerate(zip(lines, found, strict=True)) if kind == "text" and line.strip()]
     follower = dict(zip(body, body[1:], strict=False))
     begun: dict[int, int] = {}
@@ -379,7 +379,7 @@ def page_traces(df: DataFrame, row_id: str = "row_id", text: str = "text", page_
     clean = flagged.where(~F.col("_scanned"))
     texts = training_texts(clean, row_id, text)
     if not texts:
-        texts = [value.replace("\n", " ") for value in training_texts(df, row_id, text)]
+        texts = [re.sub(r"(?<=[^\n])\n(?=[^\n#])", " ", value.replace("\r", "")) for value in training_texts(df, row_id, text)]
     models = train(texts)
     lexicon = term_frequencies(clean.select(text), [text], 1).select("term", "records")
     lexicon = cut_lineage(lexicon)
