@@ -141,20 +141,24 @@ def section_type(title: Column, text: Column) -> Column:
     hay = F.lower(F.trim(F.concat_ws(" ", title, F.substring(text, 1, 500))))
     numbered = F.regexp_count(F.substring(text, 1, 2000), F.lit(r"(?m)^\s*(?:\[\d+\]|\d+\.)\s+\S+"))
     frontmatter = start.startswith("---") & any_of(F.substring(start, 1, 500), ("doc_id:", "citation_key:"))
-    return (
-        F.when(frontmatter, "metadata")
-        .when(hay == "", "body")
-        .when(any_of(hay, V.REFERENCE_MARKERS) | (numbered >= 3), "references")
-        .when(any_of(hay, V.METADATA_MARKERS), "metadata")
-        .when(any_of(hay, ("appendix", "supplement")), "appendix")
-        .when(hay.contains("abstract"), "abstract")
-        .when(hay.contains("introduction") | hay.startswith("intro"), "introduction")
-        .when(any_of(hay, V.METHOD_MARKERS), "methods")
-        .when(any_of(hay, V.RESULT_MARKERS), "results")
-        .when(hay.contains("discussion"), "discussion")
-        .when(any_of(hay, V.CONCLUSION_MARKERS), "conclusion")
-        .otherwise("body")
-    )
+
+    def told(h: Column) -> Column:
+        return (
+            F.when(frontmatter, "metadata")
+            .when(h == "", "body")
+            .when(any_of(h, V.REFERENCE_MARKERS) | (numbered >= 3), "references")
+            .when(any_of(h, V.METADATA_MARKERS), "metadata")
+            .when(any_of(h, ("appendix", "supplement")), "appendix")
+            .when(h.contains("abstract"), "abstract")
+            .when(h.contains("introduction") | h.startswith("intro"), "introduction")
+            .when(any_of(h, V.METHOD_MARKERS), "methods")
+            .when(any_of(h, V.RESULT_MARKERS), "results")
+            .when(h.contains("discussion"), "discussion")
+            .when(any_of(h, V.CONCLUSION_MARKERS), "conclusion")
+            .otherwise("body")
+        )
+
+    return F.get(F.transform(F.array(hay), told), F.lit(0))  # bound once, as some thirty conditions look at it
 
 
 def truncate(text: Column, most: int) -> Column:

@@ -7,6 +7,7 @@ shuffles (document, word) counts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as T
-from ..session import MAX_BROADCAST_BYTES, broadcast_if_small
+from ..session import MAX_BROADCAST_BYTES, broadcast_if_small, cut_lineage
 
 
 def query_tokens(df: DataFrame, query: str) -> list[str]:
@@ -28,10 +29,12 @@ def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def document_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, df, cf): texts with a token and its occurrences; tokens are made distinct before they are shuffled."""
-    tokens = df.select(T.tokenize(F.col(text)).alias("tokens"))
-    counted = tokens.select(F.explode(F.array_distinct("tokens")).alias("term"), F.col("tokens"))
-    return counted.select("term", F.size(F.filter("tokens", lambda x: x == F.col("term"))).alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
+    """(term, df, cf): texts with a token and its occurrences, in one pass whose counts are merged before the shuffle."""
+    tokens = T.tokenize(F.col(text))
+    each = F.transform(tokens, lambda x: F.struct(x.alias("term"), F.lit(0).alias("first")))
+    once = F.transform(F.array_distinct(tokens), lambda x: F.struct(x.alias("term"), F.lit(1).alias("first")))
+    rows = df.select(F.explode(F.concat(each, once)).alias("x")).select("x.term", "x.first")
+    return rows.groupBy("term").agg(F.sum("first").alias("df"), F.sum(1 - F.col("first")).alias("cf"))
 
 
 def corpus_stats(df: DataFrame, text: str) -> DataFrame:
@@ -40,29 +43,33 @@ def corpus_stats(df: DataFrame, text: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_docs"), F.avg(size).alias("avg_len"))
 
 
-def _occurrences(term: str) -> Column:
-    return F.size(F.filter("_tokens", lambda x: x == term))
+def bm25_scores(df: DataFrame, query: str, key: str, text: str, k1: float = V.BM25_K1, b: float = V.BM25_B) -> DataFrame:
+    """(key, bm25) of every text; keys are unique and a token that the query repeats counts again.
 
+    Texts are tokenised once. A text's tokens are counted in the task that reads it, so the shuffle carries one row of
+    numbers for each text, from which both the corpus statistics and the scores are taken.
 
-def bm25(df: DataFrame, query: str, key: str, text: str, k1: float = V.BM25_K1, b: float = V.BM25_B) -> DataFrame:
-    """``df`` with ``bm25``; a token that the query repeats counts again.
-
-    Null texts are empty; a query without tokens and an empty table give scores of 0 and no rows.
+    Null texts are empty; a query without tokens gives scores of 0 and an empty table no rows.
     """
     terms = query_tokens(df, query)
     distinct = sorted(set(terms))
-    tokens = T.tokenize(F.coalesce(F.col(text), F.lit("")))
-    counted = df.withColumn("_tokens", tokens).withColumn("_len", F.size("_tokens"))
-    counted = counted.withColumns({f"_tf{i}": _occurrences(t) for i, t in enumerate(distinct)}).drop("_tokens")
+    tokens = df.select(F.col(key), F.explode_outer(T.tokenize(F.coalesce(F.col(text), F.lit("")))).alias("_t"))
+    counted = tokens.groupBy(key).agg(F.count("_t").alias("_len"), *[F.count_if(F.col("_t") == t).alias(f"_tf{i}") for i, t in enumerate(distinct)])
+    counted = cut_lineage(counted)
     stats = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))]).first()
     n, mean = stats["n"], max(stats["mean"] or 0.0, 1.0)
     score = F.lit(0.0)
     for term in terms:
         i = distinct.index(term)
         tf = F.col(f"_tf{i}")
-        idf = F.log(F.lit(1 + (n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
+        idf = math.log(1 + (n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
         score = score + F.when(tf > 0, idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.greatest("_len", F.lit(1)) / mean))).otherwise(0.0)
-    return counted.withColumn("bm25", score).drop("_len", *[f"_tf{i}" for i in range(len(distinct))])
+    return counted.select(key, score.alias("bm25"))
+
+
+def bm25(df: DataFrame, query: str, key: str, text: str, k1: float = V.BM25_K1, b: float = V.BM25_B) -> DataFrame:
+    """``df`` with ``bm25``."""
+    return df.join(bm25_scores(df, query, key, text, k1, b), key)
 
 
 def tfidf(df: DataFrame, query: str, key: str, text: str, stop_words: Sequence[str] = (), max_features: int | None = None) -> DataFrame:
@@ -96,9 +103,11 @@ def known_section_type(stored: Column, title: Column, text: Column) -> Column:
 
 
 def hybrid_scores(chunks: DataFrame, query: str, key: str = "row_id", stop_words: Sequence[str] = (), max_features: int | None = 10_000) -> DataFrame:
-    """``chunks`` with section_type filled, raw_score and score: TF-IDF and BM25 mixed, a bonus for the whole phrase, times the section's weight."""
-    scored = bm25(chunks, query, key, "text").join(tfidf(chunks, query, key, "text", stop_words, max_features), key, "left")
-    best = scored.agg(F.max("bm25")).first()[0] or 0.0
+    """The chunks with a query word, with section_type filled, raw_score and score: TF-IDF and BM25 mixed, a bonus for the whole phrase, times the section's weight."""
+    ranked = bm25_scores(chunks, query, key, "text")
+    best = ranked.agg(F.max("bm25")).first()[0] or 0.0
+    numbers = ranked.join(tfidf(chunks, query, key, "text", stop_words, max_features), key, "left").where("bm25 > 0 OR tfidf > 0")
+    scored = chunks.join(numbers, key)
     phrase = query.lower().strip()
     raw = V.TFIDF_WEIGHT * F.coalesce("tfidf", F.lit(0.0)) + V.BM25_WEIGHT * (F.col("bm25") / best if best > 0 else F.lit(0.0))
     raw = raw + F.when(F.lower("text").contains(phrase) if phrase else F.lit(False), V.PHRASE_BONUS).otherwise(0.0)

@@ -16,12 +16,12 @@ TITLE = "cryogenic detector"
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    scored = S.bm25(table(spark, d, "documents").select("doc_id", "text"), QUERY, "doc_id", "text").where("bm25 > 0")
+    scored = S.bm25_scores(table(spark, d, "documents"), QUERY, "doc_id", "text").where("bm25 > 0")
     return scored.select("doc_id", F.round("bm25", 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 def bm25_chunks_topk(spark: SparkSession, d: str) -> DataFrame:
-    scored = S.bm25(table(spark, d, "chunks").select("row_id", "text"), QUERY, "row_id", "text").where("bm25 > 0")
+    scored = S.bm25_scores(table(spark, d, "chunks"), QUERY, "row_id", "text").where("bm25 > 0")
     return scored.select("row_id", F.round("bm25", 4).alias("score")).orderBy(F.desc("score"), "row_id").limit(20)
 
 
@@ -56,7 +56,7 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def max_normalised(spark: SparkSession, d: str) -> DataFrame:
     """BM25 divided by the best score."""
-    scored = S.bm25(table(spark, d, "documents").select("doc_id", "text"), QUERY, "doc_id", "text")
+    scored = S.bm25_scores(table(spark, d, "documents"), QUERY, "doc_id", "text")
     best = scored.agg(F.max("bm25")).first()[0] or 0.0
     return scored.select("doc_id", F.round(F.col("bm25") / best if best > 0 else F.lit(0.0), 4).alias("norm_score")).where("norm_score > 0")
 
@@ -103,10 +103,11 @@ def _bm25_sql(source: str, key: str, query: str) -> str:
     return f"toks AS (SELECT {key}, {_TOKENS} w FROM {source}), tfs AS (SELECT *, {tf} FROM toks), stats AS (SELECT count(*) n, avg(len(w)) mean, {df} FROM tfs), bm AS (SELECT {key}, {score} bm25 FROM tfs, stats)"
 
 
-def _tfidf_sql(source: str, key: str, query: str) -> str:
+def _tfidf_sql(source: str, key: str, query: str, most: int | None = None) -> str:
+    cap = f" ORDER BY sum(tf) DESC, word LIMIT {most}" if most else ""
     asked = ", ".join(f"('{w}')" for w in query.lower().split())
     return f"""wd AS (SELECT {key}, unnest({_WORDS}) word FROM {source}), tf AS (SELECT {key}, word, count(*) tf FROM wd GROUP BY ALL),
-      idf AS (SELECT word, ln((1.0 + (SELECT count(*) FROM {source})) / (1.0 + count(*))) + 1 idf FROM tf GROUP BY word),
+      idf AS (SELECT word, ln((1.0 + (SELECT count(*) FROM {source})) / (1.0 + count(*))) + 1 idf FROM tf GROUP BY word{cap}),
       q AS (SELECT word, count(*) * any_value(idf) q FROM (VALUES {asked}) v(word) JOIN idf USING (word) GROUP BY word),
       ti AS (SELECT {key}, sum(tf * idf * q) / (sqrt(sum(tf * idf * tf * idf)) * (SELECT sqrt(sum(q * q)) FROM q)) tfidf FROM tf JOIN idf USING (word) LEFT JOIN q USING (word) GROUP BY {key} HAVING sum(tf * idf * q) > 0)"""
 
@@ -135,8 +136,8 @@ def _weight_sql(column: str) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.SECTION_WEIGHTS.items()) + " ELSE 1.0 END"
 
 
-def _hybrid_sql(query: str) -> str:
-    return f"""{_bm25_sql('chunks', 'row_id', query)}, {_tfidf_sql('chunks', 'row_id', query)},
+def _hybrid_sql(query: str, most: int | None = None) -> str:
+    return f"""{_bm25_sql('chunks', 'row_id', query)}, {_tfidf_sql('chunks', 'row_id', query, most)},
       raw AS (SELECT c.row_id, chunk_id, citation_key, {section_type_sql()} section_type, 0.55 * coalesce(tfidf, 0) + 0.45 * bm25 / (SELECT max(bm25) FROM bm) + CASE WHEN contains(lower(text), '{query}') THEN 0.05 ELSE 0 END raw
               FROM chunks c JOIN bm USING (row_id) LEFT JOIN ti USING (row_id)),
       hy AS (SELECT *, raw * {_weight_sql('section_type')} score FROM raw)"""
@@ -151,7 +152,7 @@ SQL = {
     "bm25_chunks_topk": f"WITH {_bm25_sql('chunks', 'row_id', QUERY)} SELECT row_id, round(bm25, 4) score FROM bm WHERE bm25 > 0 ORDER BY score DESC, row_id LIMIT 20",
     "tfidf_topk": f"WITH {_tfidf_sql('documents', 'doc_id', QUERY)} SELECT doc_id, round(tfidf, 4) score FROM ti ORDER BY score DESC, doc_id LIMIT 10",
     "hybrid_scores": f"WITH {_hybrid_sql(PHRASE)} SELECT row_id, section_type, round(raw, 4) raw_score, round(score, 4) score FROM hy WHERE score > 0",
-    "search_evidence": f"""WITH {_hybrid_sql(QUERY)}, kept AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, row_id) rn FROM hy WHERE section_type NOT IN ('references', 'metadata') AND score >= 0.05)
+    "search_evidence": f"""WITH {_hybrid_sql(QUERY, 10_000)}, kept AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, row_id) rn FROM hy WHERE section_type NOT IN ('references', 'metadata') AND score >= 0.05)
         SELECT row_id, chunk_id, citation_key, section_type, round(raw, 4) raw_score, round(score, 4) score FROM kept WHERE rn = 1 ORDER BY kept.score DESC, row_id LIMIT 10""",
     "token_df": f"WITH t AS (SELECT doc_id, unnest({_TOKENS}) term FROM documents) SELECT term, count(DISTINCT doc_id) df, count(*) cf FROM t GROUP BY term",
     "term_frequencies": f"SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest({_TOKENS}) term FROM documents) GROUP BY ALL",
