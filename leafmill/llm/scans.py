@@ -41,6 +41,15 @@ _UNIT = re.compile(r"(?:[kMGmnµ]?(?:eV|Hz|Pa|K|s|m|g|B|T|V|W|bar)|ppb|ppm|dB|co
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _LAST = re.compile(rf"([^\W_](?:[^\W_]|[-.](?=[^\W_]))*)([{BREAK_MARKS}])$")
 _FIRST = re.compile(r"[^\W_](?:[^\W_]|-(?=[^\W_]))*")
+#: Where a run of letters and digits begins or ends.
+_RUNS = r"(?<=[\p{L}\p{N}])(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])(?=[\p{L}\p{N}])"
+#: Lines that no paragraph goes on in, that none goes on after, and that are an item if the line before is closed.
+_OPENER, _BLOCK, _ITEM = re.compile(r"#|\||>|\$\$|```|[-*•]\s"), re.compile(r"#|\||```|\$\$|.*\$\$$"), re.compile(r"\[\d+\]\s|\(?\d{1,2}[.)]\s")
+_CLOSED = re.compile(r"[.!?;:…][\"')\]]*$")
+#: Words before which a hyphen stands for a part that is left out.
+_SUSPENDED = frozenset(["and", "or", "to"])
+#: Characters that misreading may add to a line or take from it.
+SLACK = 2
 
 
 def scanned(df: DataFrame, text: str, page_start: str, page_end: str) -> Column:
@@ -287,7 +296,10 @@ def train(texts: list[str], seed: int = 3) -> tuple[Perceptron, Perceptron, Perc
 
 
 def _lines_of(row_id, text: str, pages: int, kinds: Perceptron, joins: Perceptron) -> Iterator[tuple]:
-    """(row_id, line_no, kind, words, left, right, right_line, guess) of each line; left and right are a broken word's parts."""
+    """(row_id, line_no, kind, words, starts, left, right, left_start, right_start, right_line, guess) of each line.
+
+    left and right are a broken word's parts; starts say where a word or part begins in its line.
+    """
     lines = [line.rstrip("\r") for line in text.split("\n")]
     found = [(kinds.predict(f) or "text") if line.strip() else "text" for f, line in zip(line_features(lines, pages), lines, strict=True)]
     body = [i for i, (line, kind) in enumerate(zip(lines, found, strict=True)) if kind == "text" and line.strip()]
@@ -295,17 +307,22 @@ def _lines_of(row_id, text: str, pages: int, kinds: Perceptron, joins: Perceptro
     begun: dict[int, int] = {}
     for i, line in enumerate(lines):
         kind, left, right, guess, after = found[i], None, None, None, follower.get(i)
+        left_start, right_start = None, None
         words: list[str] = []
+        starts: list[int] = []
         if kind == "text":
+            offset = len(line) - len(line.lstrip()) + begun[i] if i in begun else 0
             rest = line.strip()[begun.get(i, 0) :] if i in begun else line
             last, first = _LAST.search(line.rstrip()), _FIRST.match(lines[after].strip()) if after is not None else None
             if last and first and not lines[after].startswith("#"):
                 left, right = last[1] + last[2], first[0]
                 begun[after] = len(right)
+                left_start, right_start = len(line.rstrip()) - len(left), len(lines[after]) - len(lines[after].lstrip())
                 guess = bool(joins.predict(join_features(last[1], last[2], right)))
                 rest = rest.rstrip()[: len(rest.rstrip()) - len(left)] if rest.rstrip().endswith(left) else rest
-            words = [w for w in _WORD.findall(rest) if len(w) > 1]
-        yield row_id, i + 1, kind, words, left, right, (after + 1) if right else None, guess
+            at = [m for m in _WORD.finditer(rest) if m.end() - m.start() > 1]
+            words, starts = [m[0] for m in at], [m.start() + offset for m in at]
+        yield row_id, i + 1, kind, words, starts, left, right, left_start, right_start, (after + 1) if right else None, guess
 
 
 def page_lines(df: DataFrame, models: tuple, row_id: str, text: str, page_start: str, page_end: str) -> DataFrame:
@@ -314,14 +331,15 @@ def page_lines(df: DataFrame, models: tuple, row_id: str, text: str, page_start:
     pages = F.coalesce(df[page_end] - df[page_start] + 1, F.lit(2)).cast("int")
 
     def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["row_id", "line_no", "kind", "words", "left", "right", "right_line", "guess"]
+        columns = ["row_id", "line_no", "kind", "words", "starts", "left", "right", "left_start", "right_start", "right_line", "guess"]
         for frame in frames:
             rows = [line for row in frame.itertuples(index=False, name=None) for line in _lines_of(*row, kinds.value, joins.value)]
             found = pd.DataFrame(rows, columns=columns)
-            found["right_line"] = found["right_line"].astype("Int32")
+            for place in ("left_start", "right_start", "right_line"):
+                found[place] = found[place].astype("Int32")
             yield found
 
-    schema = f"row_id {dict(df.dtypes)[row_id]}, line_no int, kind string, words array<string>, left string, right string, right_line int, guess boolean"
+    schema = f"row_id {dict(df.dtypes)[row_id]}, line_no int, kind string, words array<string>, starts array<int>, left string, right string, left_start int, right_start int, right_line int, guess boolean"
     return df.where(scanned(df, text, page_start, page_end)).select(df[row_id].alias("row_id"), df[text].alias("text"), pages.alias("pages")).mapInPandas(lines, schema)
 
 
@@ -364,17 +382,8 @@ def training_texts(df: DataFrame, row_id: str, text: str) -> list[str]:
     return [row[0] for row in filled.select(text, order.alias("order"), F.col(row_id).alias("key")).orderBy("order", "key").limit(TRAIN_ROWS).collect()]
 
 
-def page_traces(df: DataFrame, row_id: str = "row_id", text: str = "text", page_start: str = "page_start", page_end: str = "page_end") -> DataFrame:
-    """(row_id, line_no, kind, word, repaired) of every trace a scanned page left in a text.
-
-    ``kind`` is ``header``, ``page_number``, ``hyphen`` (``word`` is broken at the end of the line and ``repaired`` is
-    whole) or ``misread`` (``word`` stands in the line and ``repaired`` is what was printed).
-
-    Defined cases: null and empty texts, texts without a page and texts whose paragraphs are single lines have no
-    traces; a text of any length is one row; repeated rows each come out; without clean rows the scanned ones teach the
-    noise model and no repair is known, so only furniture and joins by their look come out; other columns are never
-    looked at.
-    """
+def _traced(df: DataFrame, row_id: str, text: str, page_start: str, page_end: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(furniture lines, broken words and how they are judged, misread whole words) of the scanned rows, with their places."""
     flagged = df.withColumn("_scanned", scanned(df, text, page_start, page_end))
     clean = flagged.where(~F.col("_scanned"))
     texts = training_texts(clean, row_id, text)
@@ -385,7 +394,7 @@ def page_traces(df: DataFrame, row_id: str = "row_id", text: str = "text", page_
     lexicon = cut_lineage(lexicon)
     lines = cut_lineage(page_lines(df, models, row_id, text, page_start, page_end).where("size(words) > 0 OR left IS NOT NULL OR kind <> 'text'"))
 
-    furniture = lines.where("kind <> 'text'").select("row_id", "line_no", "kind", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("repaired"))
+    furniture = lines.where("kind <> 'text'").select("row_id", "line_no", "kind")
 
     broken = lines.where("left IS NOT NULL")
     pairs = broken.groupBy("left", "right").agg(F.max("guess").alias("guess"))
@@ -399,14 +408,133 @@ def page_traces(df: DataFrame, row_id: str = "row_id", text: str = "text", page_
     join = F.when(code, F.lit(False)).when(F.col("n_joined") > F.col("n_compound"), True).when(F.col("n_compound") > 0, soft & (F.col("n_joined") > 0)).when(F.col("repaired").isNotNull(), True).otherwise(F.col("guess"))
     judged = judged.withColumn("join", join).select("left", "right", "join", "word", "repaired", "place", F.length(stem).alias("cut"))
     judged = cut_lineage(judged)
-    breaks = broken.select("row_id", "line_no", "right_line", "left", "right").join(judged, ["left", "right"])
-    hyphens = breaks.where("join").select("row_id", "line_no", F.lit("hyphen").alias("kind"), F.concat("left", F.lit("\n"), "right").alias("word"), F.coalesce("repaired", "word").alias("repaired"))
-    split_misread = breaks.where("join AND repaired IS NOT NULL").select("row_id", F.when(F.col("place") < F.col("cut"), F.col("line_no")).otherwise(F.col("right_line")).alias("line_no"), F.lit("misread").alias("kind"), "word", "repaired")
-
-    halves = breaks.where("NOT join").select("row_id", F.explode(F.array(F.struct("line_no", F.expr("substring(left, 1, length(left) - 1)").alias("word")), F.struct(F.col("right_line").alias("line_no"), F.col("right").alias("word")))).alias("h"))
-    halves = halves.select("row_id", "h.line_no", F.explode(F.regexp_extract_all("h.word", F.lit(r"([\p{L}\p{N}]{2,})"), F.lit(1))).alias("word"))
-    occurrences = lines.select("row_id", "line_no", F.explode("words").alias("word")).unionByName(halves)
+    breaks = broken.select("row_id", "line_no", "right_line", "left", "right", "left_start", "right_start").join(judged, ["left", "right"])
+    halves = breaks.where("NOT join").select("row_id", F.explode(F.array(F.struct("line_no", F.expr("substring(left, 1, length(left) - 1)").alias("part"), F.col("left_start").alias("start")), F.struct(F.col("right_line").alias("line_no"), F.col("right").alias("part"), F.col("right_start").alias("start")))).alias("h"))
+    halves = halves.select("row_id", "h.line_no", "h.start", F.posexplode(F.split("h.part", _RUNS)).alias("at", "word"), "h.part")
+    before = F.aggregate(F.slice(F.split("part", _RUNS), F.lit(1), F.col("at")), F.lit(0), lambda n, x: n + F.length(x))
+    halves = halves.where(F.col("word").rlike(r"^[\p{L}\p{N}]{2,}$")).select("row_id", "line_no", (F.col("start") + before).alias("start"), "word")
+    occurrences = lines.select("row_id", "line_no", F.explode(F.arrays_zip(F.col("starts").alias("start"), F.col("words").alias("word"))).alias("w")).select("row_id", "line_no", "w.start", "w.word").unionByName(halves)
     words = occurrences.select("word").distinct()
     wrong = repairs(words, lexicon, models[2])
-    misreads = occurrences.join(wrong, "word").select("row_id", "line_no", F.lit("misread").alias("kind"), "word", "repaired")
+    return furniture, breaks, occurrences.join(wrong, "word").select("row_id", "line_no", "start", "word", "repaired")
+
+
+def page_traces(df: DataFrame, row_id: str = "row_id", text: str = "text", page_start: str = "page_start", page_end: str = "page_end") -> DataFrame:
+    """(row_id, line_no, start, kind, word, repaired) of every trace a scanned page left in a text.
+
+    ``kind`` is ``header``, ``page_number``, ``hyphen`` (``word`` is broken at the end of the line and ``repaired`` is
+    whole) or ``misread`` (``word`` stands in the line and ``repaired`` is what was printed). ``start`` is where the word
+    begins in its line, counted from 0: null for furniture, and of a misread word that is broken the begin of the part
+    that was misread.
+
+    Defined cases: null and empty texts, texts without a page and texts whose paragraphs are single lines have no
+    traces; a text of any length is one row; repeated rows each come out; without clean rows the scanned ones teach the
+    noise model and no repair is known, so only furniture and joins by their look come out; other columns are never
+    looked at.
+    """
+    furniture, breaks, wrong = _traced(df, row_id, text, page_start, page_end)
+    none = F.lit(None)
+    furniture = furniture.select("row_id", "line_no", none.cast("int").alias("start"), "kind", none.cast("string").alias("word"), none.cast("string").alias("repaired"))
+    hyphens = breaks.where("join").select("row_id", "line_no", F.col("left_start").alias("start"), F.lit("hyphen").alias("kind"), F.concat("left", F.lit("\n"), "right").alias("word"), F.coalesce("repaired", "word").alias("repaired"))
+    split_misread = breaks.where("join AND repaired IS NOT NULL").select("row_id", F.when(F.col("place") < F.col("cut"), F.col("line_no")).otherwise(F.col("right_line")).alias("line_no"), F.when(F.col("place") < F.col("cut"), F.col("left_start")).otherwise(F.col("right_start")).alias("start"), F.lit("misread").alias("kind"), "word", "repaired")
+    misreads = wrong.select("row_id", "line_no", "start", F.lit("misread").alias("kind"), "word", "repaired")
     return furniture.unionByName(hyphens).unionByName(split_misread).unionByName(misreads).withColumnRenamed("row_id", row_id)
+
+
+# --- repaired text --------------------------------------------------------------------------------------------------
+
+
+def _goes_on(line: str, after: str, width: int) -> bool:
+    """Whether a paragraph goes on in the next line: no other kind of line, and its first word had no room in this one."""
+    if _OPENER.match(after) or _BLOCK.match(line) or (_ITEM.match(after) and _CLOSED.search(line)):
+        return False
+    return len(line) + 1 + len(after.split()[0]) > width - SLACK
+
+
+def rebuild(text: str, furniture: set[int], breaks: list[tuple], wrong: list[tuple]) -> str:
+    """A scanned text as its author wrote it: no furniture, lines joined to paragraphs, words whole and repaired.
+
+    ``furniture`` has line numbers, ``breaks`` (line_no, right_line, left_start, right_start, left, right, join,
+    repaired), ``wrong`` (line_no, start, word, repaired). Lines that no paragraph joins stay lines.
+    """
+    lines = [line.rstrip("\r") for line in text.split("\n")]
+    edits: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
+    glued: dict[int, tuple[int, str]] = {}
+    for line_no, start, word, form in wrong:
+        edits[line_no].append((start, start + len(word), form))
+    for line_no, right_line, left_start, right_start, left, right, join, form in breaks:
+        stem = left[:-1]
+        end = left_start + len(stem)
+        if not join:
+            glued[line_no] = right_line, " " if right.lower() in _SUSPENDED else ""
+            edits[line_no].append((end, end + 1, "-"))
+            continue
+        glued[line_no] = right_line, ""
+        edits[line_no].append((end, end + 1, ""))
+        whole = stem + right
+        if form and form != whole:
+            p = next((i for i, (x, y) in enumerate(zip(whole, form, strict=False)) if x != y), min(len(whole), len(form)))
+            tail = next((i for i in range(min(len(whole), len(form)) - p) if whole[-1 - i] != form[-1 - i]), min(len(whole), len(form)) - p)
+            q, put, cut = len(whole) - tail, form[p : len(form) - tail], len(stem)
+            if p < cut:
+                edits[line_no].append((left_start + p, left_start + min(q, cut), put))
+                if q > cut:
+                    edits[right_line].append((right_start, right_start + q - cut, ""))
+            else:
+                edits[right_line].append((right_start + p - cut, right_start + q - cut, put))
+    fresh = list(lines)
+    for line_no, own in edits.items():
+        line, reached = fresh[line_no - 1], len(fresh[line_no - 1]) + 1
+        for start, end, put in sorted(set(own), reverse=True):
+            if end <= reached:
+                line, reached = line[:start] + put + line[end:], start
+        fresh[line_no - 1] = line
+    body = [i for i, line in enumerate(lines) if line.strip() and i + 1 not in furniture]
+    beside = {i for a, b in zip(body, body[1:], strict=False) if b == a + 1 for i in (a, b)}
+    width = max((len(lines[i].strip()) for i in beside if not _BLOCK.match(lines[i].strip())), default=0)
+    out = ""
+    for a, b in zip(body, [*body[1:], None], strict=True):
+        out += fresh[a].rstrip() if not out or out.endswith("\n") else fresh[a].strip()
+        if b is None:
+            break
+        line, after = lines[a].strip(), lines[b].strip()
+        blanks, between = [i for i in range(a + 1, b) if not lines[i].strip()], [i for i in range(a + 1, b) if lines[i].strip()]
+        if a + 1 in glued and glued[a + 1][0] == b + 1:
+            out += glued[a + 1][1]
+        elif not blanks:
+            out += " " if _goes_on(line, after, width) else "\n"
+        else:
+            # only furniture brings blank lines into a paragraph
+            out += " " if between and not _CLOSED.search(line) and _goes_on(line, after, width) else "\n\n"
+    return out
+
+
+def repaired_text(df: DataFrame, row_id: str = "row_id", text: str = "text", page_start: str = "page_start", page_end: str = "page_end") -> DataFrame:
+    """(row_id, text) of every row, scanned pages as continuous paragraphs without the traces of ``page_traces``.
+
+    Defined cases: rows that aren't scanned keep their text to the character, null and empty ones too; every row comes
+    out, repeated rows each; ``row_id`` names one text.
+    """
+    furniture, breaks, wrong = _traced(df, row_id, text, page_start, page_end)
+    fields = {"line_no": "int", "right_line": "int", "left_start": "int", "right_start": "int", "left": "string", "right": "string", "join": "boolean", "repaired": "string"}
+    marks = [
+        own.select("row_id", F.struct(F.lit(kind).alias("kind"), *[(F.col(has[name]) if name in has else F.lit(0 if of == "int" else None)).cast(of).alias(name) for name, of in fields.items()]).alias("mark"))
+        for kind, own, has in (("furniture", furniture, {"line_no": "line_no"}), ("break", breaks, {name: name for name in fields}), ("misread", wrong, {"line_no": "line_no", "left_start": "start", "left": "word", "repaired": "repaired"}))
+    ]
+    by_row = marks[0].unionByName(marks[1]).unionByName(marks[2]).groupBy("row_id").agg(F.collect_list("mark").alias("marks"))
+
+    def paragraphs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, own, found in frame.itertuples(index=False, name=None):
+                found = [] if found is None else [tuple(m.values()) for m in found]
+                breaks = sorted({m[1:] for m in found if m[0] == "break"}, key=lambda m: m[:2])
+                wrong = sorted({(m[1], m[3], m[5], m[8]) for m in found if m[0] == "misread"})
+                rows.append((key, rebuild(own, {m[1] for m in found if m[0] == "furniture"}, breaks, wrong)))
+            yield pd.DataFrame(rows, columns=["row_id", "text"])
+
+    page = scanned(df, text, page_start, page_end)
+    pages = df.where(page).select(df[row_id].alias("row_id"), df[text].alias("text")).join(by_row, "row_id", "left").select("row_id", "text", "marks")
+    whole = pages.mapInPandas(paragraphs, f"row_id {dict(df.dtypes)[row_id]}, text string")
+    rest = df.where(~page).select(df[row_id].alias("row_id"), df[text].alias("text"))
+    return rest.unionByName(whole).withColumnsRenamed({"row_id": row_id, "text": text})

@@ -75,3 +75,41 @@ def test_repeated_rows_each_come_out(spark):
 def test_only_scanned_rows(spark):
     rows, _ = _pages(5, 6)
     assert S.page_traces(spark.createDataFrame(rows, SCHEMA)).count() > 0
+
+
+def _paragraphs(seed, count):
+    """Noisy pages with the clean text of each."""
+    rng = random.Random(seed)
+    titles = ["Electrothermal readout of magnetic detectors at low temperature", "Longitudinal background in the cryostat"]
+    rows, want = [], {}
+    for i in range(count):
+        text = _text(rng)
+        lines, kinds, _ = S.noisy_page(text, titles, rng)
+        want[i] = text + ("\n\n" + "\n".join(lines[-n:]) if (n := next((k for k, x in enumerate(reversed(lines)) if not x), 0)) and lines[-n].endswith(":") else "")
+        for n, kind in enumerate(kinds):
+            words = lines[n].split()
+            if kind == "text" and len(words) > 4 and rng.random() < 0.1 and len(words[2]) > 6 and words[2].isalpha() and (found := S.misread(words[2], rng)):
+                words[2] = found[0]
+                lines[n] = " ".join(words)
+        rows.append((i, "\n".join(lines), 1, 2))
+    return rows, want
+
+
+def test_pages_come_out_as_paragraphs(spark):
+    rng = random.Random(9)
+    clean = [(10_000 + i, _text(rng), None, None) for i in range(150)] + [(20_000, None, 1, 1), (20_001, "", 1, 1), (20_002, "two\r\n\r\nlines", None, None)]
+    rows, want = _paragraphs(78, 60)
+    got = {r["row_id"]: r["text"] for r in S.repaired_text(spark.createDataFrame(rows + clean, SCHEMA)).collect()}
+    assert len(got) == len(rows) + len(clean) and all(got[r[0]] == r[1] for r in clean)
+    wrong = [i for i in want if got[i] != want[i]]
+    assert len(wrong) <= 6, [(got[i], want[i]) for i in wrong[:3]]
+
+
+def test_rebuilt_lines():
+    lines = ["A long enough line of prose with a sensi-", "J. CRYO. 25", "", "tive phonom at KF-", "30971 and the pre-", "and post-scan crystal.", "", "Values:", "12", "35"]
+    at = [line.rfind(" ") + 1 for line in lines]
+    breaks = [(1, 4, at[0], 0, "sensi-", "tive", True, None), (4, 5, at[3], 0, "KF-", "30971", False, None), (5, 6, at[4], 0, "pre-", "and", False, None)]
+    want = "A long enough line of prose with a sensitive phonon at KF-30971 and the pre- and post-scan crystal.\n\nValues:\n12\n35"
+    assert S.rebuild("\n".join(lines), {2}, breaks, [(4, 5, "phonom", "phonon")]) == want
+    split = [(1, 2, 4, 0, "detec-", "tar", True, "detector")]
+    assert S.rebuild("The detec-\ntar of it", set(), split, []) == "The detector of it"
