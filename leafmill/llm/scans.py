@@ -3,8 +3,9 @@
 Three averaged perceptrons decide: which lines are page furniture (from their shape and their position among the lines
 around a page break), whether a word broken at a line end is joined, and which characters of a word are kept, replaced,
 deleted or completed by an inserted one. They are trained on clean rows of the same table that are broken into pages by
-a noise model, so no label is needed. What the editor proposes holds only if the corpus knows the repaired word: breaks
-and repairs are verified by joins with the words of all clean rows, which never go to one task.
+a noise model, so no label is needed. Two more perceptrons decide with what the clean rows know: whether an edit that the
+editor scored is taken or the word kept, and whether a broken word is joined. They see the editor's gain, the look of the
+break, and in how many clean rows the words stand, looked up by joins that never bring the words to one task.
 """
 
 from __future__ import annotations
@@ -13,19 +14,22 @@ import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ngrams import term_frequencies
 from .perceptron import Perceptron
 
-#: Rows of clean text on which the perceptrons are trained, and the most words of them for the character editor.
-TRAIN_ROWS, TRAIN_WORDS = 1_200, 4_000
+#: Rows of clean text on which the perceptrons are trained, the most words of them for the character editor, and the most
+#: words and breaks for the perceptrons that decide.
+TRAIN_ROWS, TRAIN_WORDS, TRAIN_DECISIONS = 1_200, 4_000, 10_000
 #: A line of prose that goes on in the next line: what a page's layout leaves and an author's paragraph doesn't have.
-WRAPPED = r"(?<=[^\n]{25})\n[^\n#\[|>$-]"
+WRAPPED = r"\n(?<=[^\r\n]{25}\r?\n)[^\r\n#\[|>$-]"
 BREAK_MARKS = "-¬­‐‑"
 #: What a scanner reads for what was printed.
 MISREADINGS = [
@@ -33,8 +37,8 @@ MISREADINGS = [
     ("in", "m"), ("rn", "m"), ("cl", "d"), ("c", "e"), ("b", "h"), ("n", "ri"), ("l", "i"), ("ii", "u"), ("f", "t"), ("q", "g"),
     ("0", "O"), ("1", "l"), ("5", "S"), ("8", "B"), ("0", "o"), ("1", "I"), ("O", "0"), ("I", "l"), ("S", "5"), ("B", "8"),
 ]
-#: Proposals for a word, and the least records of clean text in which a repaired word must occur.
-PROPOSALS = 16
+#: Records of clean text in which a word stands that is looked at no more.
+OFTEN = 8
 _NUMBER = re.compile(r"\W*(?:[Pp](?:age|\.)?\s*)?[\dlIOo]*\d[\dlIOo]*(?:\s*(?:of|/)\s*[\dlIOo]+)?\W*")
 _CODE = re.compile(r"[A-Z]{1,4}-?\d")
 _UNIT = re.compile(r"(?:[kMGmnµ]?(?:eV|Hz|Pa|K|s|m|g|B|T|V|W|bar)|ppb|ppm|dB|counts|days)\b")
@@ -54,8 +58,7 @@ SLACK = 2
 
 def scanned(df: DataFrame, text: str, page_start: str, page_end: str) -> Column:
     """Whether a row's text keeps the lines of a page: it has a page and a line of prose that goes on in the next line."""
-    lines = F.regexp_replace(df[text], "\r", "")
-    return (df[page_start].isNotNull() | df[page_end].isNotNull()) & F.coalesce(lines.rlike(WRAPPED), F.lit(False))
+    return (df[page_start].isNotNull() | df[page_end].isNotNull()) & F.coalesce(df[text].rlike(WRAPPED), F.lit(False))
 
 
 # --- line kinds -----------------------------------------------------------------------------------------------------
@@ -168,8 +171,8 @@ def _permitted() -> dict[str, list[str]]:
 PERMITTED = _permitted()
 
 
-def propose(word: str, editor: Perceptron, most: int = PROPOSALS) -> list[tuple[str, float, int]]:
-    """(repaired word, score, place of the edit) of one or two edits that undo a misreading, best first."""
+def propose(word: str, editor: Perceptron, twice: bool = False) -> list[tuple[str, float, int]]:
+    """(repaired word, gain over keeping, place of the edit) of every single edit that undoes a misreading, or of every two."""
     scores = [editor.scores(character_features(word, i), PERMITTED[c]) if c in PERMITTED else {} for i, c in enumerate(word)]
     edits = []
     for true, seen in MISREADINGS:
@@ -178,26 +181,48 @@ def propose(word: str, editor: Perceptron, most: int = PROPOSALS) -> list[tuple[
             gain = scores[i].get(true, 0.0) - scores[i].get(word[i], 0.0) if scores[i] else 0.0
             if len(seen) == 2 and scores[i + 1]:
                 gain += scores[i + 1].get("", 0.0) - scores[i + 1].get(word[i + 1], 0.0)
-            edits.append((gain, i, seen, true))
+            edits.append((i, seen, true, gain))
             i = word.find(seen, i + 1)
-    edits.sort(reverse=True)
     found: dict[str, tuple[float, int]] = {}
-    for gain, i, seen, true in edits:
-        found.setdefault(word[:i] + true + word[i + len(seen) :], (gain, i))
-    for a, (gain, i, seen, true) in enumerate(edits[:8]):
-        for other, j, seen2, true2 in edits[a + 1 : 8]:
-            (p, s, t), (q, u, v) = sorted([(i, seen, true), (j, seen2, true2)])
-            if p + len(s) <= q:
-                found.setdefault(word[:p] + t + word[p + len(s) : q] + v + word[q + len(u) :], (gain + other - 2.0, p))
-    ranked = sorted(((w, g, p) for w, (g, p) in found.items()), key=lambda x: (-x[1], x[0]))
-    return ranked[:most]
+    for i, seen, true, gain in edits if not twice else ():
+        form = word[:i] + true + word[i + len(seen) :]
+        found[form] = max(found.get(form, (-1e9, i)), (gain, i))
+    for i, seen, true, gain in edits if twice else ():
+        for j, seen2, true2, more in edits:
+            if i + len(seen) <= j:
+                form = word[:i] + true + word[i + len(seen) : j] + true2 + word[j + len(seen2) :]
+                found[form] = max(found.get(form, (-1e9, i)), (gain + more, i))
+    return [(form, gain, i) for form, (gain, i) in found.items()]
+
+
+def _grade(n: int) -> int:
+    return min(12, int(n).bit_length())
+
+
+@lru_cache(1 << 16)
+def edit_features(kind: str, own: int, known: int, gain: int) -> tuple[str, ...]:
+    """Features of one edit: records that have the word and the repaired word, by powers of two, and the editor's gain."""
+    return "bias", f"{kind}o{own}", f"{kind}k{known}", f"{kind}g{gain}", f"{kind}o{own}k{known}", f"{kind}g{gain > 0}k{known}"
+
+
+def _edit(word: str, form: str, own: int, known: int, gain: float, twice: bool) -> tuple[str, ...]:
+    if form.isdigit() and any(c.isdigit() for c in word):
+        kind = "number"
+    else:
+        kind = f"{1 + twice}{'' if form.islower() or form.isupper() or form.istitle() else 'odd'}"
+    return edit_features(kind, _grade(own), _grade(known), max(-6, min(6, round(gain / 2))))
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------
 
 
-def join_features(left: str, mark: str, right: str) -> list[str]:
-    return ["bias", f"mark{mark}", f"l{left[-2:]}", f"l{left[-3:]}", f"r{right[:2]}", f"r{right[:3]}", f"n{min(len(left), 6)}", f"m{min(len(right), 6)}", f"c{left[:1].isupper()}{left.isupper()}{right[:1].isdigit()}", f"h{'-' in left}{mark}"]
+def join_features(left: str, mark: str, right: str, joined: int, compound: int) -> list[str]:
+    """Features of a break: how it looks, and in how many clean records the word stands joined and with a hyphen."""
+    code = bool(re.fullmatch(r"(?:.*[-.])?[A-Z]{1,4}", left)) or right[:1].isdigit()
+    known = f"{_grade(joined)},{_grade(compound)}"
+    more = "joined" if joined > compound else "compound" if compound else "neither"
+    look = ["bias", f"mark{mark}", f"l{left[-2:]}", f"l{left[-3:]}", f"r{right[:2]}", f"r{right[:3]}", f"n{min(len(left), 6)}", f"m{min(len(right), 6)}", f"c{left[:1].isupper()}{left.isupper()}{right[:1].isdigit()}", f"h{'-' in left}{mark}"]
+    return [*look, f"code{code}", f"code{code},{more}", f"more{more}", f"more{more},{mark == '-'}", f"known{known}"]
 
 
 # --- noise model ----------------------------------------------------------------------------------------------------
@@ -271,32 +296,40 @@ def noisy_page(text: str, titles: list[str], rng: random.Random) -> tuple[list[s
     return lines, kinds, breaks
 
 
-def train(texts: list[str], seed: int = 3) -> tuple[Perceptron, Perceptron, Perceptron]:
-    """(line kinds, joins, characters) learnt from clean texts by the noise model."""
+def train(texts: list[str], seed: int = 3) -> tuple[Perceptron, Perceptron, list[tuple], list[tuple]]:
+    """(line kinds, characters) learnt from clean texts by the noise model, and breaks and words to learn decisions from.
+
+    Breaks are (left, mark, right, joined) and words (word as seen, word as printed).
+    """
     rng = random.Random(seed)
     titles = [m.strip("#* ") for text in texts for m in re.findall(r"(?m)^#.*$", text)] + [s for text in texts for s in re.findall(r"(?m)^[A-Z][^.\n]{30,120}", text)]
     titles = [t for t in titles if len(t) > 12] or ["On the nature of things", "Notes on the measurement"]
-    lines, joins, words = [], [], set()
+    lines, breaks, words = [], [], set()
     for text in texts:
-        own, kinds, breaks = noisy_page(text, titles, rng)
+        own, kinds, broken = noisy_page(text, titles, rng)
         lines += [(features, kind, None) for features, kind, line in zip(line_features(own, 2), kinds, own, strict=True) if line]
-        joins += [(join_features(left, mark, right), joined, None) for left, mark, right, joined in breaks]
+        # the mark of a page is drawn for joined breaks only; compounds have theirs in print
+        breaks += broken
         words |= {w for w in _WORD.findall(text) if len(w) > 1}
-    characters = []
+    characters, seen_words = [], []
     for word in sorted(words)[:: max(1, len(words) // TRAIN_WORDS)]:
         characters += [(character_features(word, i), c, PERMITTED[c]) for i, c in enumerate(word) if c in PERMITTED]
+        seen_words.append((word, word))
         for _ in range(2):
             if found := misread(word, rng):
                 seen, truths = found
                 characters += [(character_features(seen, i), t, PERMITTED[c]) for i, (c, t) in enumerate(zip(seen, truths, strict=True)) if c in PERMITTED and t in PERMITTED[c]]
-    return Perceptron().fit(lines), Perceptron().fit(joins, epochs=3), Perceptron().fit(characters, epochs=3)
+                seen_words.append((seen, word))
+    rng.shuffle(seen_words)
+    rng.shuffle(breaks)
+    return Perceptron().fit(lines), Perceptron().fit(characters, epochs=3), breaks[:TRAIN_DECISIONS], seen_words[:TRAIN_DECISIONS]
 
 
 # --- Spark ----------------------------------------------------------------------------------------------------------
 
 
-def _lines_of(row_id, text: str, pages: int, kinds: Perceptron, joins: Perceptron) -> Iterator[tuple]:
-    """(row_id, line_no, kind, words, starts, left, right, left_start, right_start, right_line, guess) of each line.
+def _lines_of(row_id, text: str, pages: int, kinds: Perceptron) -> Iterator[tuple]:
+    """(row_id, line_no, kind, words, starts, left, right, left_start, right_start, right_line) of each line.
 
     left and right are a broken word's parts; starts say where a word or part begins in its line.
     """
@@ -306,7 +339,7 @@ def _lines_of(row_id, text: str, pages: int, kinds: Perceptron, joins: Perceptro
     follower = dict(zip(body, body[1:], strict=False))
     begun: dict[int, int] = {}
     for i, line in enumerate(lines):
-        kind, left, right, guess, after = found[i], None, None, None, follower.get(i)
+        kind, left, right, after = found[i], None, None, follower.get(i)
         left_start, right_start = None, None
         words: list[str] = []
         starts: list[int] = []
@@ -318,59 +351,113 @@ def _lines_of(row_id, text: str, pages: int, kinds: Perceptron, joins: Perceptro
                 left, right = last[1] + last[2], first[0]
                 begun[after] = len(right)
                 left_start, right_start = len(line.rstrip()) - len(left), len(lines[after]) - len(lines[after].lstrip())
-                guess = bool(joins.predict(join_features(last[1], last[2], right)))
                 rest = rest.rstrip()[: len(rest.rstrip()) - len(left)] if rest.rstrip().endswith(left) else rest
             at = [m for m in _WORD.finditer(rest) if m.end() - m.start() > 1]
             words, starts = [m[0] for m in at], [m.start() + offset for m in at]
-        yield row_id, i + 1, kind, words, starts, left, right, left_start, right_start, (after + 1) if right else None, guess
+        yield row_id, i + 1, kind, words, starts, left, right, left_start, right_start, (after + 1) if right else None
 
 
-def page_lines(df: DataFrame, models: tuple, row_id: str, text: str, page_start: str, page_end: str) -> DataFrame:
+def page_lines(df: DataFrame, kinds: Perceptron, row_id: str, text: str, page_start: str, page_end: str) -> DataFrame:
     """Every line of the scanned rows with its kind, its whole words and the word broken at its end."""
-    kinds, joins = (df.sparkSession.sparkContext.broadcast(m) for m in models[:2])
+    shared = df.sparkSession.sparkContext.broadcast(kinds)
     pages = F.coalesce(df[page_end] - df[page_start] + 1, F.lit(2)).cast("int")
 
     def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["row_id", "line_no", "kind", "words", "starts", "left", "right", "left_start", "right_start", "right_line", "guess"]
+        columns = ["row_id", "line_no", "kind", "words", "starts", "left", "right", "left_start", "right_start", "right_line"]
         for frame in frames:
-            rows = [line for row in frame.itertuples(index=False, name=None) for line in _lines_of(*row, kinds.value, joins.value)]
+            rows = [line for row in frame.itertuples(index=False, name=None) for line in _lines_of(*row, shared.value)]
             found = pd.DataFrame(rows, columns=columns)
             for place in ("left_start", "right_start", "right_line"):
                 found[place] = found[place].astype("Int32")
             yield found
 
-    schema = f"row_id {dict(df.dtypes)[row_id]}, line_no int, kind string, words array<string>, starts array<int>, left string, right string, left_start int, right_start int, right_line int, guess boolean"
+    schema = f"row_id {dict(df.dtypes)[row_id]}, line_no int, kind string, words array<string>, starts array<int>, left string, right string, left_start int, right_start int, right_line int"
     return df.where(scanned(df, text, page_start, page_end)).select(df[row_id].alias("row_id"), df[text].alias("text"), pages.alias("pages")).mapInPandas(lines, schema)
 
 
-def _proposals(words: DataFrame, editor: Perceptron) -> DataFrame:
-    """(word, form, score, place) of every proposed repair of distinct words."""
-    shared = words.sparkSession.sparkContext.broadcast(editor)
+def _with_known(df: DataFrame, lexicon: DataFrame, word: Column, name: str) -> DataFrame:
+    """``df`` with the records of clean text that have ``word``; distinct words, so no key is hot."""
+    return df.withColumn("_w", F.lower(word)).join(lexicon.select(F.col("term").alias("_w"), F.col("records").alias(name)), "_w", "left").drop("_w").fillna(0, [name])
+
+
+def learn_decisions(spark: SparkSession, lexicon: DataFrame, editor: Perceptron, breaks: list[tuple], words: list[tuple]) -> tuple[Perceptron, Perceptron]:
+    """(edits, joins): whether an edit is taken and whether a break is joined, learnt from at most ``TRAIN_DECISIONS`` each.
+
+    A word's own clean record doesn't count for it: what is to be repaired stands in other records.
+    """
+    tried = [(seen, true, form, gain) for seen, true in words for form, gain, _ in propose(seen, editor)]
+    wanted = {w.lower() for seen, true, form, _ in tried for w in (seen, true, form)} | {w.lower() for left, _, right, _ in breaks for w in (left + right, f"{left}-{right}")}
+    asked = spark.createDataFrame(pd.DataFrame(sorted(wanted) or [""], columns=["term"]), "term string")
+    records = {row[0]: row[1] for row in asked.join(lexicon, "term").collect()}
+    examples = []
+    for seen, true, form, gain in tried:
+        own, known = records.get(seen.lower(), 0) - (seen == true), records.get(form.lower(), 0) - (form == true)
+        if own < OFTEN and known > 0 or form.isdigit():
+            right = form.lower() == true.lower() and form.istitle() == true.istitle()
+            examples += [(_edit(seen, form, max(0, own), max(0, known), gain, twice), right, None) for twice in (False, True)]
+    joins = []
+    for left, mark, right, joined in breaks:
+        n, m = records.get((left + right).lower(), 0) - joined, records.get(f"{left}-{right}".lower(), 0) - (not joined)
+        joins.append((join_features(left, mark, right, max(0, n), max(0, m)), joined, None))
+    return Perceptron().fit(examples, epochs=4), Perceptron().fit(joins, epochs=4)
+
+
+def _proposals(words: DataFrame, editor: Broadcast, twice: bool) -> DataFrame:
+    """(word, own, form, gain, place) of every proposed repair of distinct words."""
 
     def edit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(word, form, score, place) for word in frame["word"] for form, score, place in propose(word, shared.value)]
-            yield pd.DataFrame(rows, columns=["word", "form", "score", "place"])
+            rows = [(word, own, *found) for word, own in zip(frame["word"], frame["own"], strict=True) for found in propose(word, editor.value, twice)]
+            yield pd.DataFrame(rows, columns=["word", "own", "form", "gain", "place"])
 
-    return words.mapInPandas(edit, "word string, form string, score double, place int")
+    return words.select("word", "own").mapInPandas(edit, "word string, own long, form string, gain double, place int")
 
 
-def _with_known(df: DataFrame, lexicon: DataFrame, word: Column, name: str) -> DataFrame:
-    """``df`` with the records of clean text that have ``word``; distinct words, so no key is hot."""
-    return df.withColumn("_w", F.lower(word)).join(lexicon.select(F.col("term").alias("_w"), F.col("records").alias(name)), "_w", "left").drop("_w").fillna(0, [name])
+def _taken(proposed: DataFrame, edits: Broadcast, twice: bool) -> DataFrame:
+    """(word, repaired, place): the best edit of each word that is rather taken than the word kept."""
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        margins: dict[tuple[str, ...], float] = {}
+        for frame in frames:
+            found = []
+            for word, form, own, known, gain in zip(frame["word"], frame["form"], frame["own"], frame["known"], frame["gain"], strict=True):
+                features = _edit(word, form, own, known, gain, twice)
+                if features not in margins:
+                    scores = edits.value.scores(features, (True, False))
+                    margins[features] = scores[True] - scores[False]
+                found.append(margins[features])
+            yield frame[["word", "form", "place"]].assign(margin=found, gain=frame["gain"])
+
+    judged = proposed.select("word", "form", "place", "own", "known", "gain").mapInPandas(decide, "word string, form string, place int, margin double, gain double")
+    rank = F.struct("margin", "gain", "form")
+    return judged.where("margin > 0").groupBy("word").agg(F.max_by("form", rank).alias("repaired"), F.max_by("place", rank).alias("place"))
 
 
-def repairs(words: DataFrame, lexicon: DataFrame, editor: Perceptron) -> DataFrame:
-    """(word, repaired, place) of the words that clean text doesn't have and whose best known repair it has.
+def repairs(words: DataFrame, lexicon: DataFrame, editor: Broadcast, edits: Broadcast) -> DataFrame:
+    """(word, repaired, place) of the words that are rather repaired than kept; two edits where one isn't enough.
 
-    A number with a letter for a digit is repaired to a number without looking it up.
+    A repaired word is one that clean text has; a number with a letter for a digit is repaired without looking it up.
     """
-    unknown = _with_known(words.distinct(), lexicon, F.col("word"), "own").where((F.col("own") == 0) & F.col("word").rlike(r"\p{L}")).select("word")
-    proposed = _with_known(_proposals(unknown, editor), lexicon, F.col("form"), "known")
+    asked = cut_lineage(_with_known(words.distinct(), lexicon, F.col("word"), "own").where((F.col("own") < OFTEN) & F.col("word").rlike(r"\p{L}")).select("word", F.col("own").cast("long").alias("own")))
     number = F.col("form").rlike(r"^\d+$") & F.col("word").rlike(r"\d") & (F.length("word") > 1)
-    kept = proposed.where((F.col("known") > 0) & ~F.col("form").rlike(r"\d") | number)
-    rank = F.struct(F.col("score") + F.log1p(F.col("known")) / 4, F.col("form"))
-    return kept.groupBy("word").agg(F.max_by("form", rank).alias("repaired"), F.max_by("place", rank).alias("place"))
+
+    def found(left: DataFrame, twice: bool) -> DataFrame:
+        proposed = _with_known(_proposals(left, editor, twice), lexicon, F.col("form"), "known")
+        return _taken(proposed.where((F.col("known") > 0) & ~F.col("form").rlike(r"\d") | number), edits, twice)
+
+    once = cut_lineage(found(asked, False))
+    return once.unionByName(found(asked.where("own = 0").join(once.select("word"), "word", "left_anti"), True))
+
+
+def _joined(pairs: DataFrame, joins: Broadcast) -> DataFrame:
+    """``pairs`` (left, right, n_joined, n_compound) with ``guess``, whether the break is joined."""
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = zip(frame["left"], frame["right"], frame["n_joined"], frame["n_compound"], strict=True)
+            yield frame.assign(guess=[bool(joins.value.predict(join_features(left[:-1], left[-1], right, n, m))) for left, right, n, m in rows])
+
+    return pairs.select("left", "right", "n_joined", "n_compound").mapInPandas(decide, "left string, right string, n_joined long, n_compound long, guess boolean")
 
 
 def training_texts(df: DataFrame, row_id: str, text: str) -> list[str]:
@@ -389,23 +476,23 @@ def _traced(df: DataFrame, row_id: str, text: str, page_start: str, page_end: st
     texts = training_texts(clean, row_id, text)
     if not texts:
         texts = [re.sub(r"(?<=[^\n])\n(?=[^\n#])", " ", value.replace("\r", "")) for value in training_texts(df, row_id, text)]
-    models = train(texts)
-    lexicon = term_frequencies(clean.select(text), [text], 1).select("term", "records")
-    lexicon = cut_lineage(lexicon)
-    lines = cut_lineage(page_lines(df, models, row_id, text, page_start, page_end).where("size(words) > 0 OR left IS NOT NULL OR kind <> 'text'"))
+    kinds, characters, breaks, words = train(texts)
+    lexicon = cut_lineage(term_frequencies(clean.select(text), [text], 1).select("term", "records"))
+    editor, edits, joins = (df.sparkSession.sparkContext.broadcast(m) for m in (characters, *learn_decisions(df.sparkSession, lexicon, characters, breaks, words)))
+    lines = cut_lineage(page_lines(df, kinds, row_id, text, page_start, page_end).where("size(words) > 0 OR left IS NOT NULL OR kind <> 'text'"))
 
     furniture = lines.where("kind <> 'text'").select("row_id", "line_no", "kind")
 
     broken = lines.where("left IS NOT NULL")
-    pairs = broken.groupBy("left", "right").agg(F.max("guess").alias("guess"))
+    pairs = broken.select("left", "right").distinct()
     stem = F.expr("substring(left, 1, length(left) - 1)")
     joined, compound = F.concat(stem, "right"), F.concat(stem, F.lit("-"), "right")
     judged = _with_known(_with_known(pairs, lexicon, joined, "n_joined"), lexicon, compound, "n_compound")
-    fixed = repairs(judged.where("n_joined = 0 AND n_compound = 0").select(joined.alias("word")), lexicon, models[2])
+    judged = cut_lineage(_joined(judged, joins))
+    fixed = repairs(judged.where("n_joined = 0 AND n_compound = 0").select(joined.alias("word")), lexicon, editor, edits)
     judged = judged.withColumn("word", joined).join(fixed, "word", "left")
-    soft = ~F.col("left").endswith("-")
-    code = stem.rlike(r"^(.*[-.])?[A-Z]{1,4}$") | F.col("right").rlike(r"^\d")
-    join = F.when(code, F.lit(False)).when(F.col("n_joined") > F.col("n_compound"), True).when(F.col("n_compound") > 0, soft & (F.col("n_joined") > 0)).when(F.col("repaired").isNotNull(), True).otherwise(F.col("guess"))
+    # a word that only a repair makes known is a joined one
+    join = F.col("guess") | F.col("repaired").isNotNull() & ~F.col("word").rlike(r"\d")
     judged = judged.withColumn("join", join).select("left", "right", "join", "word", "repaired", "place", F.length(stem).alias("cut"))
     judged = cut_lineage(judged)
     breaks = broken.select("row_id", "line_no", "right_line", "left", "right", "left_start", "right_start").join(judged, ["left", "right"])
@@ -415,7 +502,7 @@ def _traced(df: DataFrame, row_id: str, text: str, page_start: str, page_end: st
     halves = halves.where(F.col("word").rlike(r"^[\p{L}\p{N}]{2,}$")).select("row_id", "line_no", (F.col("start") + before).alias("start"), "word")
     occurrences = lines.select("row_id", "line_no", F.explode(F.arrays_zip(F.col("starts").alias("start"), F.col("words").alias("word"))).alias("w")).select("row_id", "line_no", "w.start", "w.word").unionByName(halves)
     words = occurrences.select("word").distinct()
-    wrong = repairs(words, lexicon, models[2])
+    wrong = repairs(words, lexicon, editor, edits)
     return furniture, breaks, occurrences.join(wrong, "word").select("row_id", "line_no", "start", "word", "repaired")
 
 
