@@ -16,10 +16,12 @@ class Perceptron:
 
     def scores(self, features: Sequence[Hashable], labels: Sequence[Hashable] | None = None) -> dict[Hashable, float]:
         found: dict[Hashable, float] = dict.fromkeys(labels if labels is not None else self.labels, 0.0)
+        weights = self.weights
         for feature in features:
-            for label, weight in self.weights.get(feature, {}).items():
-                if label in found:
-                    found[label] += weight
+            if feature in weights:
+                for label, weight in weights[feature].items():
+                    if label in found:
+                        found[label] += weight
         return found
 
     def predict(self, features: Sequence[Hashable], labels: Sequence[Hashable] | None = None) -> Hashable:

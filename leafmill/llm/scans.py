@@ -64,31 +64,38 @@ def scanned(df: DataFrame, text: str, page_start: str, page_end: str) -> Column:
 # --- line kinds -----------------------------------------------------------------------------------------------------
 
 
-def _shape(line: str) -> dict[str, bool | str]:
+_BARE, _CLOSE, _YEAR = re.compile(r"[\dlIOo]+"), re.compile(r"[.!?;:…][\"')\]]*$"), re.compile(r"\((?:1[89l]|2[0O])[\dlO]{2}\)")
+_ET_AL, _END_NUMBER, _START_NUMBER = re.compile(r"\bet\s+a[l1I]\b", re.I), re.compile(r"\s[\dlO]*\d[\dlO]*$"), re.compile(r"[\dlO]*\d[\dlO]*\s+[A-ZÀ-Þ]")
+_ABBREVIATION = re.compile(r"[A-ZÀ-Þ][\w]*\.")
+
+
+def _shape(line: str) -> dict[str, bool]:
+    """What a line looks like; the costly patterns run only where their first character fits."""
     words = line.split()
-    letters = [c for c in line if c.isalpha()]
-    first = words[0] if words else ""
+    first, start, last = words[0] if words else "", line[:1], line[-1:]
+    letters = sum(map(str.isalpha, line))
+    numeric = start in "0123456789lO" or last in "0123456789lO"
     return {
         "blank": not words,
-        "number": bool(_NUMBER.fullmatch(line)) and any(c.isdigit() for c in line),
-        "bare": bool(re.fullmatch(r"[\dlIOo]+", line.strip())),
-        "sentence_end": bool(re.search(r"[.!?;:…][\"')\]]*$", line)),
-        "colon": line.endswith(":"),
-        "broken": bool(line) and line[-1] in BREAK_MARKS,
+        "number": len(words) < 8 and bool(_NUMBER.fullmatch(line)) and any(map(str.isdigit, line)),
+        "bare": len(words) == 1 and bool(_BARE.fullmatch(first)),
+        "sentence_end": bool(_CLOSE.search(line[-8:])),
+        "colon": last == ":",
+        "broken": bool(line) and last in BREAK_MARKS,
         "lower": first[:1].islower(),
         "upper": first[:1].isupper(),
         "digit": first[:1].isdigit(),
         "opener": bool(first) and not first[0].isalnum(),
         "code": bool(_CODE.match(first)),
         "unit": bool(_UNIT.match(first)),
-        "caps": len(letters) > 3 and sum(c.isupper() for c in letters) > 0.9 * len(letters),
-        "heading": line.startswith("#"),
-        "year": bool(re.search(r"\((?:1[89l]|2[0O])[\dlO]{2}\)", line)),
-        "et_al": bool(re.search(r"\bet\s+a[l1I]\b", line, re.I)),
-        "bar": " | " in line or "  |  " in line,
-        "end_number": bool(re.search(r"\s[\dlO]*\d[\dlO]*$", line)),
-        "start_number": bool(re.match(r"[\dlO]*\d[\dlO]*\s+[A-ZÀ-Þ]", line)),
-        "abbreviations": sum(1 for w in words if re.fullmatch(r"[A-ZÀ-Þ][\w]*\.", w)) >= 2,
+        "caps": letters > 3 and sum(map(str.isupper, line)) > 0.9 * letters,
+        "heading": start == "#",
+        "year": "(" in line and bool(_YEAR.search(line)),
+        "et_al": "et" in line.lower() and bool(_ET_AL.search(line)),
+        "bar": " | " in line,
+        "end_number": numeric and bool(_END_NUMBER.search(line)),
+        "start_number": numeric and bool(_START_NUMBER.match(line)),
+        "abbreviations": sum(1 for w in words if w[-1] == "." and _ABBREVIATION.fullmatch(w)) >= 2,
     }
 
 
@@ -346,11 +353,13 @@ def _lines_of(row_id, text: str, pages: int, kinds: Perceptron) -> Iterator[tupl
         if kind == "text":
             offset = len(line) - len(line.lstrip()) + begun[i] if i in begun else 0
             rest = line.strip()[begun.get(i, 0) :] if i in begun else line
-            last, first = _LAST.search(line.rstrip()), _FIRST.match(lines[after].strip()) if after is not None else None
-            if last and first and not lines[after].startswith("#"):
+            whole = line.rstrip()
+            last = _LAST.search(whole.rsplit(None, 1)[-1]) if whole and whole[-1] in BREAK_MARKS and after is not None else None
+            first = _FIRST.match(lines[after].strip()) if last else None
+            if first and not lines[after].startswith("#"):
                 left, right = last[1] + last[2], first[0]
                 begun[after] = len(right)
-                left_start, right_start = len(line.rstrip()) - len(left), len(lines[after]) - len(lines[after].lstrip())
+                left_start, right_start = len(whole) - len(left), len(lines[after]) - len(lines[after].lstrip())
                 rest = rest.rstrip()[: len(rest.rstrip()) - len(left)] if rest.rstrip().endswith(left) else rest
             at = [m for m in _WORD.finditer(rest) if m.end() - m.start() > 1]
             words, starts = [m[0] for m in at], [m.start() + offset for m in at]
