@@ -2,9 +2,10 @@
 
 Duplicates are joined to groups by star contraction. In each group and field, a value that is a placeholder, damaged, or
 cut off is out, and so is one that the recorded changes replace in the end: the changes of all members, in time, are a
-partial order of the group's values. Of what is left the latest import counts, then the most trusted source. Values
-whose import time is missing are ordered by currency: which values replace which is learnt from all timestamped changes
-(as an affix that goes, or as a pair of values), and a value is out if what regularly replaces it stands beside it.
+partial order of the group's values. Of what is left the latest import counts, then the most trusted source. Where times
+don't decide, because they are missing or equal, values are ordered by currency: which values replace which is learnt from
+all timestamped changes (as an affix that goes, or as a pair of values). Together with the group's own changes this is one
+relation, followed step by step also over values that the group doesn't hold, and the topologically latest values are left.
 
 No step compares the values of a group in pairs: cut values are found by equality with the front parts of the others,
 replaced ones by equality with the changes, so a group may be of any size.
@@ -32,7 +33,8 @@ CUT = r"(\[truncated\]|\.\.|…)\s*$"
 GARBLED = "[Â-ß][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|â€|�"
 WHOLE = {
     "title": r"(?i)^(?!.*(\b(a|an|the|of|in|on|for|with|and|by|to|using|near|at|from)|[:,;(-])\s*$).*$",
-    "author": r"(?i)^(?!.*(\band others|\bet al\.?|\band|,|;)\s*$).*$",
+    # not cut off, and not surnames alone
+    "author": r"(?i)^(?!.*(\band others|\bet al\.?|\band|,|;)\s*$)(?!\s*[^\s,]+(\s+and\s+[^\s,]+)*\s*$).*$",
     "year": r"^\s*\{?(1[5-9]|20)\d\d(-\d\d)?\}?\s*$",
     "journal": r"^(?!.*\p{L}{1,6}\.(\s|$)).*$",
     "doi": r"(?i)^\s*(https?://(dx\.)?doi\.org/|doi:\s*)?10\.\d{4,9}/\S*[\p{L}\p{N}]\s*$",
@@ -41,8 +43,11 @@ WHOLE = {
 }
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, group): the least node that each node of undirected edges (u, v) is joined with, by star contraction."""
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(node, group): the least node that each node of undirected edges (u, v) is joined with, by star contraction.
+
+    Rounds grow with the logarithm of the longest path; ``most_rounds`` is a guard that raises an error.
+    """
     current = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(most_rounds):
@@ -56,6 +61,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"groups still grow after {most_rounds} rounds")
     members = current.select(F.col("u").alias("node"), F.col("v").alias("group"))
     return members.unionByName(members.select(F.col("group").alias("node"), "group")).distinct()
 
@@ -99,6 +106,42 @@ def learnt_order(changes: DataFrame) -> DataFrame:
     return forth.join(back, ["field", "kind", "old", "new"], "left").fillna(0, ["m"]).where((F.col("n") >= LEAST_CHANGES) & (F.col("n") >= LEAST_RATIO * F.col("m"))).select("field", "kind", "old", "new")
 
 
+def _outdated(kept: DataFrame, order: DataFrame, told: DataFrame, most_steps: int = 100) -> DataFrame:
+    """(group, field, value) of the values between which times don't decide and that a later value of the group replaces.
+
+    Times don't decide between values without a time, and between those of the group's latest time and most trusted
+    source. From each of them the learnt ``order`` and the group's own changes lead to later values, step by step, until
+    nothing new is reached; values that lead to each other replace neither.
+    """
+    top = kept.groupBy("group", "field").agg(F.max("rank").alias("top"), F.count("*").alias("n")).where("n > 1")
+    open_ = kept.join(top, ["group", "field"]).where((F.col("rank.imported_at").isNull()) | (F.col("rank") == F.col("top"))).select("group", "field", "value")
+    open_ = open_.join(open_.groupBy("group", "field").agg(F.count("*").alias("n")).where("n > 1").select("group", "field"), ["group", "field"], "left_semi")
+    rules, size = order.agg(F.count("*"), F.sum(F.octet_length("old") + F.octet_length("new") + 64)).first()
+    order = broadcast_if_small(cut_lineage(order.withColumnRenamed("field", "of_field")), 1, size or 0)
+    lengths = [row[0] for row in order.where("kind <> 'pair'").select(F.length("old").alias("n")).distinct().collect()]  # of affixes, a few dozen numbers
+    reached = frontier = open_.withColumn("at", F.col("value"))
+    reached = cut_lineage(reached)
+    for _ in range(most_steps):
+        # an affix of each learnt length, or the whole value, is looked up by equality
+        ways = [F.struct(F.lit("pair").alias("kind"), F.col("at").alias("old"), F.lit(None).cast("string").alias("rest"))]
+        for n in lengths:
+            longer = F.length("at") > n
+            ways += [F.when(longer, F.struct(F.lit("prefix").alias("kind"), F.substring("at", 1, n).alias("old"), F.substring("at", n + 1, 1 << 30).alias("rest")))]
+            ways += [F.when(longer, F.struct(F.lit("suffix").alias("kind"), F.expr(f"substring(at, length(at) - {n} + 1)").alias("old"), F.expr(f"substring(at, 1, length(at) - {n})").alias("rest")))]
+        tried = frontier.select("group", "field", "value", F.explode(F.array_compact(F.array(*ways))).alias("w")).select("group", "field", "value", "w.kind", "w.old", "w.rest")
+        learnt = tried.join(order.withColumnsRenamed({"of_field": "field"}), ["field", "kind", "old"]).select("group", "field", "value", F.coalesce("rest", "new").alias("at"))
+        own = frontier.withColumnRenamed("at", "old").join(told, ["group", "field", "old"]).select("group", "field", "value", F.col("new").alias("at"))
+        frontier = cut_lineage(learnt.unionByName(own).distinct().join(reached, ["group", "field", "value", "at"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        reached = cut_lineage(reached.unionByName(frontier))
+    else:
+        raise RuntimeError(f"values still lead to others after {most_steps} steps")
+    later = reached.where("value <> at").join(kept.select("group", "field", F.col("value").alias("at")), ["group", "field", "at"], "left_semi")
+    back = later.select("group", "field", F.col("at").alias("value"), F.col("value").alias("at"))
+    return later.join(back, ["group", "field", "value", "at"], "left_anti").select("group", "field", "value").distinct()
+
+
 def surviving_values(candidates: DataFrame, changes: DataFrame, sources: DataFrame, fields: Sequence[str] = FIELDS) -> tuple[DataFrame, DataFrame]:
     """(group, field, value) that survives, and the members (cand_id, group, field, value) of all groups.
 
@@ -106,8 +149,8 @@ def surviving_values(candidates: DataFrame, changes: DataFrame, sources: DataFra
     field, old_value, new_value, changed_at and change_id; ``sources`` has source and trust.
 
     Defined cases: a duplicate of no known record, of itself or of null is in no group; an entry without a field has no
-    value there; a source without trust counts as 0; null times of import are ordered by currency and otherwise come
-    last; changes without effect, without time or of other records count for nothing, and of changes back and forth the
+    value there; a source without trust counts as 0; null and equal times of import are ordered by currency, and null ones
+    otherwise come last; changes without effect, without time or of other records count for nothing, and of changes back and forth the
     last counts; equal values tie to the same survivor; a group without a usable value has none; other columns are
     never looked at.
     """
@@ -117,7 +160,7 @@ def surviving_values(candidates: DataFrame, changes: DataFrame, sources: DataFra
     to = records.where("of <> ''").join(keys.withColumnRenamed("key", "of"), "of").select(F.col("cand_id").alias("u"), F.col("first").alias("v"))
     same = records.join(keys, "key").select(F.col("cand_id").alias("u"), F.col("first").alias("v"))
     groups = cut_lineage(components(to.unionByName(same)))
-    grouped = records.join(groups.withColumnRenamed("node", "cand_id"), "cand_id").join(F.broadcast(trust) if sources.count() < 10_000 else trust, "source", "left")
+    grouped = records.join(groups.withColumnRenamed("node", "cand_id"), "cand_id").join(broadcast_if_small(trust, 1, sources.agg(F.sum(F.octet_length("source") + 16)).first()[0] or 0), "source", "left")
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), _entry_value(f).alias("value")) for f in fields])
     members = grouped.select("cand_id", "group", "key", "imported_at", F.coalesce("trust", F.lit(0)).alias("trust"), F.explode(pairs).alias("x")).select("cand_id", "group", "key", "imported_at", "trust", "x.field", "x.value")
     members = cut_lineage(members)
@@ -136,18 +179,9 @@ def surviving_values(candidates: DataFrame, changes: DataFrame, sources: DataFra
 
     kept = values.where("whole").join(parts, ["group", "field", "value"], "left_anti").join(replaced, ["group", "field", "value"], "left_anti")
     kept = cut_lineage(kept.select("group", "field", "value", "rank"))
-
-    order = learnt_order(changes)
-    rules = order.count()
-    order = broadcast_if_small(order.withColumnRenamed("field", "of_field"), rules, 400)
-    undated = kept.where("rank.imported_at IS NULL").join(order, F.col("field") == F.col("of_field"))
-    newer = (
-        F.when((F.col("kind") == "prefix") & F.expr("startswith(value, old)"), F.expr("substring(value, length(old) + 1)"))
-        .when((F.col("kind") == "suffix") & F.expr("endswith(value, old)"), F.expr("substring(value, 1, length(value) - length(old))"))
-        .when((F.col("kind") == "pair") & (F.col("value") == F.col("old")), F.col("new"))
-    )
-    outdated = undated.withColumn("newer", newer).where("newer IS NOT NULL").join(kept.select(F.col("group"), F.col("field"), F.col("value").alias("newer")), ["group", "field", "newer"], "left_semi").select("group", "field", "value")
-    best = kept.join(outdated, ["group", "field", "value"], "left_anti").groupBy("group", "field").agg(F.max(F.struct(F.coalesce("rank.imported_at", F.to_timestamp(F.lit("0001-01-01"))).alias("at"), "rank.trust", "value")).alias("best"))
+    outdated = _outdated(kept, learnt_order(changes), told.select("group", "field", F.col("old_value").alias("old"), F.col("new_value").alias("new")))
+    left = kept.join(outdated, ["group", "field", "value"], "left_anti")
+    best = left.groupBy("group", "field").agg(F.max(F.struct(F.coalesce("rank.imported_at", F.to_timestamp(F.lit("0001-01-01"))).alias("at"), "rank.trust", "value")).alias("best"))
     return best.select("group", "field", F.col("best.value").alias("value")), members.select("cand_id", "group", "field", "value")
 
 

@@ -27,7 +27,7 @@ def _found(spark, cands, changes=()):
     ("field", "value", "good"),
     [
         ("title", "A whole title", True), ("title", "A title of", False), ("title", "A title …", False), ("title", "A [truncated]", False), ("title", "TBD", False), ("title", " ", False), ("title", None, False),
-        ("author", "Doe, J. and Roe, R.", True), ("author", "Doe, J. et al.", False), ("author", "Doe, J. and others", False), ("author", "KlÃ¶r, M.", False), ("author", "Klör, M.", True),
+        ("author", "Doe, J. and Roe, R.", True), ("author", "Doe, J. et al.", False), ("author", "Doe and Roe", False), ("author", "John Doe and Roe, R.", True), ("author", "Doe, J. and others", False), ("author", "KlÃ¶r, M.", False), ("author", "Klör, M.", True),
         ("year", "2020", True), ("year", "20", False), ("year", "201?", False), ("journal", "Journal of Things", True), ("journal", "J. Things", False), ("journal", "Journal of..", False),
         ("doi", "10.1234/ab.1", True), ("doi", "10.1234/", False), ("doi", "10.1234/ab...", False), ("pages", "1--9", True), ("pages", "1--", False), ("pages", "12", False),
         ("abstract", "One. Two.", True), ("abstract", "One. Two", False),
@@ -81,3 +81,14 @@ def test_group_of_a_third_of_all_rows(spark):
     found, values = _found(spark, cands)
     assert len(values) == 2 and {f for _, f in found} == {"title"}
     assert all(f"Title number {c % 7} here" == values[1, "title"] for c, _ in found) and len(found) == sum(1 for i in range(1, 400) if f"Title number {i % 7} here" == values[1, "title"])
+
+
+def test_currency_over_values_that_the_group_lacks(spark):
+    many = [(2000 + i, f"v{i}", "title", f"Item {i}: old", f"Item {i}", at(2)) for i in range(6)]
+    titles = [_c(1, "k1", None, 5, "b", title="Big item: old"), _c(2, "k2", "k1", 5, "b", title="Big item")]
+    assert _found(spark, titles, many)[0] == {(2, "title")}
+    undated = [_c(1, "k1", None, None, "b", title="Big item: new: old"), _c(2, "k2", "k1", None, title="Big item")]
+    more = [(3000 + i, f"u{i}", "title", f"Thing {i}: new", f"Thing {i}", at(2)) for i in range(6)]
+    assert _found(spark, undated, many + more)[0] == {(2, "title")}  # over "Big item: new", which nobody has
+    assert _found(spark, undated, many)[0] == {(1, "title")}  # a step short
+    assert _found(spark, [_c(1, "k1", None, 9, "b", title="Big item: old"), _c(2, "k2", "k1", 5, title="Big item")], many)[0] == {(1, "title")}  # times decide
