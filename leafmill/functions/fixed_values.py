@@ -92,3 +92,7 @@ EDGE_WORDS = (
 )
 TRAILING_WORDS = ("detector", "detectors", "experiment", "experiments", "measurement", "measurements", "signal", "signals", "system", "systems", "setup")
 SECTION_TITLES_LEFT_OUT = ("abstract", "introduction", "results", "discussion", "conclusion", "references", "acknowledgments", "acknowledgements", "appendix", "technical run", "physics run")
+
+# Where an abstract ends, and marks of paragraphs that a journal puts in.
+ABSTRACT_PATTERN = r"(?is)\babstract\b\s*(.*?)(?:\n\s*(?:1\.?\s+)?(?:introduction|keywords|index terms)\b|\n\s*I\.\s+INTRODUCTION\b)"
+BOILERPLATE = ("article", "https://doi.org", "received:", "accepted:", "published online", "check for updates")

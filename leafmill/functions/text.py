@@ -15,8 +15,10 @@ from . import fixed_values as V
 #: Letters, digits and ``_`` of any script, as a character class of Java and of RE2.
 WORD = r"\p{L}\p{N}_"
 BLANK = r"\s\p{Z}"
-DOI = r"(10\.\d{4,9}/[^\s\p{Z}{}<>\"]+)"
-ARXIV = r"(\d{4}\.\d{4,5}(?:v\d+)?|[a-z.-]+/\d{7}(?:v\d+)?)"
+#: Identifiers in lower-case text: a DOI, an arXiv id, and an arXiv id behind the prefix of any DOI registrant.
+DOI = r"(10\.\d{4,9}/[-._;()/:a-z0-9]+)"
+ARXIV = r"(\d{4}\.\d{4,5}(?:v\d+)?|[a-z-]+/\d{7}(?:v\d+)?)"
+ARXIV_DOI = r"10\.\d{4,}/arxiv[./-](\d{4}\.\d{4,5}(?:v\d+)?)"
 
 
 def any_of(text: Column, words: Iterable[str]) -> Column:
@@ -44,9 +46,14 @@ def normalize_doi(value: Column) -> Column:
     return F.when(found == "", text).otherwise(F.regexp_replace(found, r"\.+$", ""))
 
 
-def normalize_arxiv(value: Column) -> Column:
+def find_arxiv(value: Column) -> Column:
     """The arXiv id in a text, with its version; ``''`` where there is none."""
-    return F.regexp_extract(F.lower(F.trim(value)), ARXIV, 1)
+    return F.regexp_extract(F.lower(value), ARXIV, 1)
+
+
+def normalize_arxiv(value: Column) -> Column:
+    """The arXiv id in a text, with its version; where there is none, the trimmed lower-case text."""
+    return F.coalesce(F.nullif(find_arxiv(value), F.lit("")), F.lower(F.trim(value)))
 
 
 def normalize_title(value: Column) -> Column:
@@ -60,8 +67,18 @@ def normalize_authors(value: Column) -> Column:
     return F.filter(names, lambda x: x != "")
 
 
+def arxiv_of_doi(doi: Column) -> Column:
+    """The arXiv id that a DOI wraps; ``''`` where it wraps none."""
+    return F.regexp_extract(F.lower(doi), ARXIV_DOI, 1)
+
+
 def is_datacite_arxiv(doi: Column) -> Column:
-    return F.lower(doi).startswith("10.48550/arxiv.")
+    return arxiv_of_doi(doi) != ""
+
+
+def best_identifier(doi: Column, arxiv: Column, title_norm: Column, key: Column) -> Column:
+    """The first of a record's identifiers that isn't empty, its key at last."""
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in (doi, arxiv, title_norm)], key)
 
 
 def year_of(year: Column, date: Column) -> Column:
@@ -120,13 +137,13 @@ def equation_ids(text: Column, anchor: Column, index: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Search tokens: runs of letters, digits and ``_.+-`` of which two characters are left without ``._-`` around; lower case."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD}.+-]+)"), F.lit(1))
-    return F.filter(found, lambda x: F.length(F.btrim(x, F.lit("._-"))) >= 2)
+    # two characters that aren't cut from the ends, so no run has to be looked at again
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"([._-]*[\p{{L}}\p{{N}}+](?:[._-]*[\p{{L}}\p{{N}}+])[{WORD}.+-]*)"), F.lit(1))
 
 
 def words(text: Column) -> Column:
     """Words of two characters or more, lower case, as a TF-IDF vectoriser by convention takes them."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD}]+)"), F.lit(1)), lambda x: F.length(x) >= 2)
+    return F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD}]{{2,}})"), F.lit(1))
 
 
 def section_weight(section_type: Column) -> Column:
@@ -184,11 +201,15 @@ def key_findings(text: Column, most: int = 3) -> Column:
 
 
 def abstract_of(text: Column) -> Column:
-    """The text under a heading "Abstract", else the first paragraph of at least 180 characters; at most 1,200 characters."""
-    text = F.regexp_replace(text, "\r", "")
-    under = squeeze(F.regexp_extract(text, r"(?is)(?:^|\n)[#*\s]*abstract[*:.\s]*\n(.+?)(?=\n#|\z)", 1))
-    paragraph = F.get(F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: squeeze(x)), lambda x: (F.length(x) >= 180) & ~x.startswith("#")), F.lit(0))
-    return F.substring(F.coalesce(F.nullif(under, F.lit("")), paragraph, F.lit("")), 1, 1200)
+    """What stands between the word "Abstract" and the introduction or keywords, else the first paragraph of at least 180
+    characters that isn't a journal's boilerplate; at most 1,200 characters. Lines that are only a number don't count.
+    """
+    text = F.regexp_replace(F.regexp_replace(text, "\r", ""), r"(?m)^\s*\d+\s*$", "")
+    told = squeeze(F.regexp_extract(text, V.ABSTRACT_PATTERN, 1))
+    told = F.btrim(F.regexp_replace(told, "Abstract[—-]", ""), F.lit(" :-"))
+    paragraphs = F.transform(F.split(text, r"\n\s*\n"), lambda x: squeeze(x))
+    paragraph = F.get(F.filter(paragraphs, lambda x: (F.length(x) >= 180) & ~any_of(F.lower(x), V.BOILERPLATE)), F.lit(0))
+    return F.substring(F.when(text.rlike(V.ABSTRACT_PATTERN), told).otherwise(F.coalesce(paragraph, F.lit(""))), 1, 1200)
 
 
 def term_tokens(term: Column) -> Column:

@@ -25,8 +25,9 @@ def manifest_records(entries: DataFrame) -> DataFrame:
     A DOI that only wraps an arXiv id becomes that id and no DOI; missing fields are ``''``.
     """
     value = {name: F.coalesce(field("fields", name), F.lit("")) for name in PROMOTED}
-    wraps = T.is_datacite_arxiv(T.normalize_doi(value["doi"]))
-    arxiv = F.coalesce(F.nullif(T.normalize_arxiv(value["eprint"]), F.lit("")), F.when(wraps, T.normalize_arxiv(F.substring_index(T.normalize_doi(value["doi"]), "arxiv.", -1))), F.lit(""))
+    wrapped = T.arxiv_of_doi(T.normalize_doi(value["doi"]))
+    wraps = wrapped != ""
+    arxiv = F.coalesce(F.nullif(T.normalize_arxiv(value["eprint"]), F.lit("")), wrapped)
     return entries.select(
         F.col("id").alias("key"),
         "pos",

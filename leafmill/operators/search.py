@@ -1,8 +1,8 @@
 """Ranking of chunks, documents and records.
 
-A query's terms are counted where the text lies, so a search reads the texts once for the corpus statistics and once for
-the scores and shuffles one row of statistics; only TF-IDF, whose norm needs the document frequency of every word,
-shuffles (document, word) counts.
+A query's terms are counted where the text lies: a search reads the texts once into narrow rows of numbers, from which
+corpus statistics, scores and ranks are taken, and fetches the texts of the best hits only. TF-IDF reads them once more for
+the document frequency of every word, and a third time for the norms of those texts that have a word of the query.
 """
 
 from __future__ import annotations
@@ -43,19 +43,16 @@ def corpus_stats(df: DataFrame, text: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_docs"), F.avg(size).alias("avg_len"))
 
 
-def bm25_scores(df: DataFrame, query: str, key: str, text: str, k1: float = V.BM25_K1, b: float = V.BM25_B) -> DataFrame:
-    """(key, bm25) of every text; keys are unique and a token that the query repeats counts again.
+def _occurrences(tokens: str, term: str) -> Column:
+    return F.size(tokens) - F.size(F.array_remove(tokens, F.lit(term)))
 
-    Texts are tokenised once. A text's tokens are counted in the task that reads it, so the shuffle carries one row of
-    numbers for each text, from which both the corpus statistics and the scores are taken.
 
-    Null texts are empty; a query without tokens gives scores of 0 and an empty table no rows.
-    """
+def _bm25(df: DataFrame, query: str, key: str, text: str, k1: float, b: float, extra: Sequence[Column] = ()) -> tuple[DataFrame, float]:
+    """(key, bm25 and the extra columns) of every text, from one pass over the texts that shuffles nothing; and the best bm25."""
     terms = query_tokens(df, query)
     distinct = sorted(set(terms))
-    tokens = df.select(F.col(key), F.explode_outer(T.tokenize(F.coalesce(F.col(text), F.lit("")))).alias("_t"))
-    counted = tokens.groupBy(key).agg(F.count("_t").alias("_len"), *[F.count_if(F.col("_t") == t).alias(f"_tf{i}") for i, t in enumerate(distinct)])
-    counted = cut_lineage(counted)
+    tokens = df.select(F.col(key), T.tokenize(F.coalesce(F.col(text), F.lit(""))).alias("_t"), *extra)
+    counted = cut_lineage(tokens.withColumns({"_len": F.size("_t"), **{f"_tf{i}": _occurrences("_t", t) for i, t in enumerate(distinct)}}).drop("_t"))
     stats = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))]).first()
     n, mean = stats["n"], max(stats["mean"] or 0.0, 1.0)
     score = F.lit(0.0)
@@ -64,7 +61,16 @@ def bm25_scores(df: DataFrame, query: str, key: str, text: str, k1: float = V.BM
         tf = F.col(f"_tf{i}")
         idf = math.log(1 + (n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
         score = score + F.when(tf > 0, idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.greatest("_len", F.lit(1)) / mean))).otherwise(0.0)
-    return counted.select(key, score.alias("bm25"))
+    scored = counted.withColumn("bm25", score).drop("_len", *[f"_tf{i}" for i in range(len(distinct))])
+    return scored, scored.agg(F.max("bm25")).first()[0] or 0.0
+
+
+def bm25_scores(df: DataFrame, query: str, key: str, text: str, k1: float = V.BM25_K1, b: float = V.BM25_B) -> DataFrame:
+    """(key, bm25) of every text; a token that the query repeats counts again.
+
+    Null texts are empty; a query without tokens gives scores of 0 and an empty table no rows.
+    """
+    return _bm25(df, query, key, text, k1, b)[0]
 
 
 def bm25(df: DataFrame, query: str, key: str, text: str, k1: float = V.BM25_K1, b: float = V.BM25_B) -> DataFrame:
@@ -81,17 +87,25 @@ def tfidf(df: DataFrame, query: str, key: str, text: str, stop_words: Sequence[s
     words = T.words(F.col(text))
     if stop_words:
         words = F.filter(words, lambda x: ~x.isin(*stop_words))
-    counts = df.select(F.col(key).alias("key"), F.explode(words).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
-    n = df.count()
-    vocabulary = counts.groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    texts = df.select(F.col(key).alias("key"), words.alias("words"))
+    # each word once for its documents, again for its occurrences; merged before the shuffle
+    seen = texts.select(F.explode(F.array_distinct("words")).alias("word"), F.lit(1).alias("first"))
+    if max_features is not None:
+        seen = seen.unionByName(texts.select(F.explode("words").alias("word"), F.lit(0).alias("first")))
+    vocabulary = seen.groupBy("word").agg(F.sum("first").alias("df"), F.sum(1 - F.col("first")).alias("cf"))
     if max_features is not None:
         vocabulary = vocabulary.orderBy(F.desc("cf"), "word").limit(max_features)
-    weighted = vocabulary.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).select("word", "idf")
-    size = vocabulary.count()
+    n = df.count()
+    weighted = cut_lineage(vocabulary.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).select("word", "idf"))
+    size = weighted.agg(F.sum(F.octet_length("word") + 48)).first()[0] or 0
+    asked_words = spark.range(1).select(F.array_distinct(T.words(F.lit(query))).alias("w")).first()["w"]
     asked = spark.range(1).select(F.explode(T.words(F.lit(query))).alias("word")).groupBy("word").agg(F.count("*").alias("qf"))
     asked = asked.join(weighted, "word").withColumn("q", F.col("qf") * F.col("idf"))
     asked = asked.select("word", "q", F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy())).alias("q_norm"))  # as many rows as the query has words
-    entries = counts.join(broadcast_if_small(weighted, size, 80), "word").withColumn("w", F.col("tf") * F.col("idf"))
+    # a text without a word of the query scores 0 whatever its norm
+    near = texts.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in asked_words]).cast("array<string>")))
+    counts = near.select("key", F.explode("words").alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
+    entries = counts.join(broadcast_if_small(weighted, 1, size), "word").withColumn("w", F.col("tf") * F.col("idf"))
     scored = entries.join(F.broadcast(asked), "word", "left").groupBy("key")
     dot = scored.agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.max("q_norm").alias("q_norm"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return dot.where("dot > 0").select(F.col("key").alias(key), (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("tfidf"))
@@ -103,29 +117,33 @@ def known_section_type(stored: Column, title: Column, text: Column) -> Column:
 
 
 def hybrid_scores(chunks: DataFrame, query: str, key: str = "row_id", stop_words: Sequence[str] = (), max_features: int | None = 10_000) -> DataFrame:
-    """The chunks with a query word, with section_type filled, raw_score and score: TF-IDF and BM25 mixed, a bonus for the whole phrase, times the section's weight."""
-    ranked = bm25_scores(chunks, query, key, "text")
-    best = ranked.agg(F.max("bm25")).first()[0] or 0.0
-    numbers = ranked.join(tfidf(chunks, query, key, "text", stop_words, max_features), key, "left").where("bm25 > 0 OR tfidf > 0")
-    scored = chunks.join(numbers, key)
+    """(key, chunk_id, section_type, raw_score, score) of the chunks with a query word.
+
+    TF-IDF and BM25 mixed, a bonus for the whole phrase, times the section's weight; section_type is filled. ``key`` is unique.
+    """
     phrase = query.lower().strip()
-    raw = V.TFIDF_WEIGHT * F.coalesce("tfidf", F.lit(0.0)) + V.BM25_WEIGHT * (F.col("bm25") / best if best > 0 else F.lit(0.0))
-    raw = raw + F.when(F.lower("text").contains(phrase) if phrase else F.lit(False), V.PHRASE_BONUS).otherwise(0.0)
     kind = known_section_type(F.col("section_type"), F.col("section_title"), F.col("text"))
-    return scored.withColumn("section_type", kind).withColumn("raw_score", raw).withColumn("score", F.col("raw_score") * T.section_weight(F.col("section_type")))
+    holds = F.coalesce(F.lower("text").contains(phrase), F.lit(False)) if phrase else F.lit(False)
+    ranked, best = _bm25(chunks, query, key, "text", V.BM25_K1, V.BM25_B, [F.col("chunk_id"), kind.alias("section_type"), holds.alias("_phrase")])
+    numbers = ranked.join(tfidf(chunks, query, key, "text", stop_words, max_features), key, "left").where("bm25 > 0 OR tfidf > 0")
+    raw = V.TFIDF_WEIGHT * F.coalesce("tfidf", F.lit(0.0)) + V.BM25_WEIGHT * (F.col("bm25") / best if best > 0 else F.lit(0.0))
+    raw = raw + F.when(F.col("_phrase"), V.PHRASE_BONUS).otherwise(0.0)
+    return numbers.select(key, "chunk_id", "section_type", raw.alias("raw_score")).withColumn("score", F.col("raw_score") * T.section_weight(F.col("section_type")))
 
 
 def search_chunks(chunks: DataFrame, query: str, top_k: int = 10, include_low_quality: bool = False, min_score: float = V.MIN_SCORE, order: str = "row_id", **options) -> DataFrame:
     """The best chunks: by score, then by ``order``; of equal chunk ids the first; low-quality sections and scores under ``min_score`` only if asked for.
 
-    Null and empty texts score 0 and never come out; an empty table and a query without words give no rows.
+    Ranks are made from numbers alone and only the texts of the ``top_k`` are fetched. Null and empty texts score 0 and
+    never come out; an empty table and a query without words give no rows.
     """
     scored = hybrid_scores(chunks, query, order, **options).where("score > 0")
     if not include_low_quality:
         scored = scored.where(~F.col("section_type").isin(*V.LOW_QUALITY_SECTIONS) & (F.col("score") >= min_score))
     first = Window.partitionBy("chunk_id").orderBy(F.desc("score"), order)
-    hits = scored.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return hits.orderBy(F.desc("score"), order).limit(top_k).withColumns({"score": F.round("score", 4), "raw_score": F.round("raw_score", 4)})
+    hits = scored.withColumn("_n", F.row_number().over(first)).where("_n = 1").orderBy(F.desc("score"), order).limit(top_k).select(order, "section_type", "raw_score", "score")
+    whole = chunks.drop("section_type").join(F.broadcast(hits) if top_k <= 10_000 else hits, order)
+    return whole.select(*chunks.columns, "raw_score", "score").orderBy(F.desc("score"), order).withColumns({"score": F.round("score", 4), "raw_score": F.round("raw_score", 4)})
 
 
 def record_scores(records: DataFrame, query: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import records as R
@@ -124,6 +125,11 @@ def abstracts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.abstract_of(F.col("text")).alias("abstract")).where("abstract <> ''")
 
 
+def best_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    m = _manifest(spark, d)
+    return m.select("key", "pos", T.best_identifier(F.col("doi"), F.col("arxiv"), F.col("title_norm"), F.col("key")).alias("identifier"))
+
+
 def record_hashes(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks")
     return c.select("row_id", F.sha2("text", 256).alias("sha256"), F.substring(F.sha1("text"), 1, 10).alias("short_id"))
@@ -131,22 +137,23 @@ def record_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 _F = "list_filter(fields, lambda x: lower(x.k) = '{}')[-1].v"
 _NORM = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
-_DOI_RE = r"(10\.\d{4,9}/[^\s\p{Z}{}<>\"]+)"
-_ARXIV_RE = r"(\d{4}\.\d{4,5}(?:v\d+)?|[a-z.-]+/\d{7}(?:v\d+)?)"
+_DOI_RE = r"10\.\d{4,9}/[-._;()/:a-z0-9]+"
+_ARXIV_RE = r"(\d{4}\.\d{4,5}(v\d+)?|[a-z-]+/\d{7}(v\d+)?)"
+_ARXIV_DOI_RE = r"10\.\d{4,}/arxiv[./-](\d{4}\.\d{4,5}(v\d+)?)"
 
 
 def _doi(x: str) -> str:
-    return f"(CASE WHEN regexp_extract(lower(trim({x})), '{_DOI_RE}', 1) = '' THEN lower(trim({x})) ELSE rtrim(regexp_extract(lower(trim({x})), '{_DOI_RE}', 1), '.') END)"
+    return f"(CASE WHEN regexp_matches(lower({x}), '{_DOI_RE}') THEN rtrim(regexp_extract(lower({x}), '{_DOI_RE}'), '.') ELSE lower(trim({x})) END)"
 
 
 def _arxiv(x: str) -> str:
-    return f"regexp_extract(lower(trim({x})), '{_ARXIV_RE}', 1)"
+    return f"coalesce(nullif(regexp_extract(lower({x}), '{_ARXIV_RE}', 1), ''), lower(trim({x})))"
 
 
 def manifest_sql(name: str, source: str, key: str, pos: str, fields: str) -> str:
     f = lambda n: f"coalesce({_F.format(n).replace('fields', fields)}, '')"
     return f"""{name} AS (SELECT key, pos, title, {_NORM.format('title')} title_norm, authors, CASE WHEN trim(y) <> '' THEN y ELSE left(dt, 4) END AS "year",
-        CASE WHEN starts_with(d, '10.48550/arxiv.') THEN '' ELSE d END doi, CASE WHEN a <> '' THEN a WHEN starts_with(d, '10.48550/arxiv.') THEN {_arxiv("replace(d, '10.48550/arxiv.', '')")} ELSE '' END arxiv, file
+        CASE WHEN regexp_matches(d, '{_ARXIV_DOI_RE}') THEN '' ELSE d END doi, CASE WHEN a <> '' THEN a ELSE regexp_extract(d, '{_ARXIV_DOI_RE}', 1) END arxiv, file
       FROM (SELECT {key} AS key, {pos} AS pos, {f('title')} title, list_filter(list_transform(regexp_split_to_array(regexp_replace({f('author')}, '[{{}}]', '', 'g'), '(?i)[\\s\\p{{Z}}]+and[\\s\\p{{Z}}]+'), lambda x: trim(regexp_replace(x, '[\\s\\p{{Z}}]+', ' ', 'g'))), lambda x: x <> '') authors,
         {f('year')} y, {f('date')} dt, {_doi(f('doi'))} d, {_arxiv(f('eprint'))} a, {f('file')} file FROM {source}))"""
 
@@ -175,7 +182,7 @@ _VALUE = f"CASE WHEN doi <> '' THEN doi WHEN arxiv <> '' THEN arxiv WHEN title_n
 _EQ = "len(regexp_extract_all(text, '(?s)\\$\\$(.*?)\\$\\$'))"
 _SQUEEZED = r"trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))"
 _PARTS = "string_split(regexp_replace(text, '(?m)^(#{1,6}[ \\t]+\\S)', chr(1) || '\\1', 'g'), chr(1))"
-QUERIES = {f.__name__: f for f in (normalised_records, resolved_sources, dedup_first, title_norm_dedup_first, last_per_key, duplicate_ids, dedup_semi, dedup_anti, multikey_match, unique_keys, pdf_actions, section_extract, section_anchors, section_types, section_type_counts, chunk_ids, equations, built_chunks, chunk_counts, excerpts, abstracts, record_hashes)}
+QUERIES = {f.__name__: f for f in (normalised_records, resolved_sources, dedup_first, title_norm_dedup_first, last_per_key, duplicate_ids, dedup_semi, dedup_anti, multikey_match, unique_keys, pdf_actions, section_extract, section_anchors, section_types, section_type_counts, chunk_ids, equations, built_chunks, chunk_counts, excerpts, abstracts, best_identifiers, record_hashes)}
 SQL = {
     "normalised_records": f"WITH {_M} SELECT key, pos, title_norm, year, doi, arxiv, CAST(len(authors) AS INTEGER) n_authors, replace({_NORM.format('title')}, ' ', '-') slug FROM m",
     "resolved_sources": f"WITH {_M} SELECT key, pos, {_RESOLVED} doc_id, CASE WHEN arxiv <> '' THEN 'arxiv_source' WHEN file <> '' THEN 'pdf_pymupdf' ELSE 'unresolved' END source_type, arxiv = '' AND file = '' needs_review, {_safe(_RESOLVED)} safe_id, 'reference/chunks/' || {_safe(_RESOLVED)} || '.jsonl' chunk_path FROM m",
@@ -195,5 +202,10 @@ SQL = {
     "section_type_counts": f"SELECT {section_type_sql(None)} section_type, count(*) n FROM chunks GROUP BY 1",
     "chunk_ids": f"SELECT row_id, {_safe('doc_id')} || '::' || coalesce(nullif(ltrim(section_anchor, '#'), ''), 'section') || '::chunk-' || lpad(CAST(chunk_index AS VARCHAR), greatest(3, length(CAST(chunk_index AS VARCHAR)))::INTEGER, '0') || '-' || left(sha1(text), 10) chunk_id FROM chunks WHERE section_anchor IS NOT NULL AND chunk_index IS NOT NULL AND text IS NOT NULL",
     "equations": f"SELECT row_id, 'eq-' || coalesce(nullif(ltrim(coalesce(section_anchor, ''), '#'), ''), 'section') || '-' || lpad(CAST(coalesce(chunk_index, 0) AS VARCHAR), 3, '0') || '-' || lpad(CAST(unnest(range(1, {_EQ} + 1)) AS VARCHAR), 2, '0') equation_id FROM chunks WHERE {_EQ} > 0",
+    "best_identifiers": f"WITH {_M} SELECT key, pos, coalesce(nullif(doi, ''), nullif(arxiv, ''), nullif(title_norm, ''), key) identifier FROM m",
+    "abstracts": rf"""WITH t AS (SELECT doc_id, regexp_replace(replace(text, chr(13), ''), '(?m)^\s*\d+\s*$', '', 'g') t FROM documents WHERE text IS NOT NULL),
+      p AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda x: trim(regexp_replace(x, '[\s\p{{Z}}]+', ' ', 'g'))), lambda x: length(x) >= 180 AND NOT ({" OR ".join(f"contains(lower(x), '{w}')" for w in V.BOILERPLATE)})) ps FROM t),
+      a AS (SELECT doc_id, left(CASE WHEN regexp_matches(t, '{V.ABSTRACT_PATTERN}') THEN trim(regexp_replace(trim(regexp_replace(regexp_extract(t, '{V.ABSTRACT_PATTERN}', 1), '[\s\p{{Z}}]+', ' ', 'g')), 'Abstract[—-]', '', 'g'), ' :-') ELSE coalesce(ps[1], '') END, 1200) abstract FROM p)
+      SELECT doc_id, abstract FROM a WHERE abstract <> ''""",
     "record_hashes": "SELECT row_id, sha256(text) sha256, left(sha1(text), 10) short_id FROM chunks",
 }

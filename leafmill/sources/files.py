@@ -24,7 +24,7 @@ MANIFEST_SCHEMA = (
     "source_sha256 string, parsed_markdown string, original_pdf string, original_tex string, created_at string"
 )
 #: Note lines that say something: a mark, perhaps in a list, a colon and the text.
-NOTE_MARK = r"(?i)^\s*(?:[-*]\s*)?(?:\*\*)?(decision|consensus|open question|failed|dispute|finding|method)(?:\*\*)?\s*:\s*(?:\*\*)?\s*(.+)$"
+NOTE_MARK = r"(?i)^\s*(?:[-*]\s*|\d+\.\s+)?(?:\*\*)?(decision|consensus|open question|failed|dispute|finding|method)(?:\*\*)?\s*:\s*(?:\*\*)?\s*(.+)$"
 
 
 def read_chunks(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
@@ -114,7 +114,7 @@ def read_rdf(spark: SparkSession, path: str, row_tags: tuple[str, ...] = ("bib:A
     listed = F.coalesce(F.col("bib:authors.rdf:Seq.rdf:li"), F.array())
     authors = F.filter(F.transform(listed, lambda x: F.concat_ws(", ", x["foaf:Person"]["foaf:surname"], x["foaf:Person"]["foaf:givenName"])), lambda x: ~F.lower(x).isin("", "others"))
     ids = F.array_join(F.coalesce("dc:identifier", F.array().cast("array<string>")), " ")
-    arxiv = F.coalesce(F.nullif(T.normalize_arxiv(F.col("dc:description")), F.lit("")), F.nullif(F.regexp_extract(F.lower(ids), r"(?:arxiv[:.\s]\s*)" + T.ARXIV, 1), F.lit("")), F.lit(""))
+    arxiv = F.coalesce(F.nullif(T.find_arxiv(F.col("dc:description")), F.lit("")), F.nullif(F.regexp_extract(F.lower(ids), r"(?:arxiv[:.\s]\s*)" + T.ARXIV, 1), F.lit("")), F.lit(""))
     doi = F.regexp_replace(F.regexp_extract(F.lower(ids), T.DOI, 1), r"\.+$", "")
     return items.select(F.col("dc:title").alias("title"), F.col("dc:date").alias("date"), F.when(T.is_datacite_arxiv(doi), "").otherwise(doi).alias("doi"), arxiv.alias("arxiv"), authors.alias("authors"))
 

@@ -15,7 +15,15 @@ def value(spark, function, *args):
         (T.normalize_doi, ("https://doi.org/10.1234/ABC.",), "10.1234/abc"),
         (T.normalize_doi, (" Not a DOI ",), "not a doi"),
         (T.normalize_arxiv, ("arXiv:2101.00001v2",), "2101.00001v2"),
-        (T.normalize_arxiv, ("none",), ""),
+        (T.normalize_arxiv, (" None ",), "none"),
+        (T.normalize_arxiv, ("arXiv:hep-ex/0101001v2 [hep-ex]",), "hep-ex/0101001v2"),
+        (T.find_arxiv, ("None",), ""),
+        (T.normalize_doi, ("doi:10.1234/x, see",), "10.1234/x"),
+        (T.normalize_doi, ("[10.1234/(A)_b:c;d]?",), "10.1234/(a)_b:c;d"),
+        (T.arxiv_of_doi, ("10.99999/arXiv-2101.00001v3",), "2101.00001v3"),
+        (T.arxiv_of_doi, ("10.1234/abc",), ""),
+        (T.abstract_of, ("Title\nABSTRACT\n 12 \nWe find\nit.\n\n1. Introduction\nmore",), "We find it."),
+        (T.abstract_of, ("Received: today " + "x " * 100 + "\n\n" + "y " * 100,), ("y " * 100).strip()),
         (T.normalize_title, ("{The}  Grün-Test: ν!",), "the grün test ν"),
         (T.normalize_authors, ("{A}, B and C, D AND E",), ["A, B", "C, D", "E"]),
         (T.year_of, (None, "2020-03"), "2020"),
@@ -61,4 +69,4 @@ def test_excerpts(spark):
     df = spark.createDataFrame([(long,)], "t string")
     assert df.select(T.sentence(F.col("t"))).first()[0] == "This first sentence has more than thirty characters."
     assert df.select(T.truncate(F.col("t"), 10)).first()[0] == "This first..."
-    assert df.select(T.abstract_of(F.lit("# Abstract\n\nShort one.\n\n# Next\ntext"))).first()[0] == "Short one."
+    assert df.select(T.abstract_of(F.lit("# Abstract\n\nShort one.\n\nKeywords: a, b"))).first()[0] == "Short one."
