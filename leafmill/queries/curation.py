@@ -9,6 +9,7 @@ from ..functions import fixed_values as V
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import phrases as P
+from ..operators import records as R
 from ..operators import vocabulary as W
 from ..session import table
 
@@ -26,16 +27,17 @@ def undominated_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extracted_terms(spark: SparkSession, d: str) -> DataFrame:
-    terms = table(spark, d, "vocab_terms")
-    protected = W.names(terms).select(F.array_join(T.term_tokens(F.col("name")), " ").alias("norm"))
-    return P.extract_terms(table(spark, d, "chunks"), "text", 40, protected)
+    """The best phrases of the chunks, of section titles that say something, and of the entries' titles and abstracts."""
+    terms, chunks, entries = (table(spark, d, name) for name in ("vocab_terms", "chunks", "bib_entries"))
+    protected = W.names(terms).select(F.array_join(T.term_tokens(F.col("name")), " ").alias("norm")).where("norm <> ''")
+    about = entries.where("deleted_at IS NULL").select(R.field("fields", "title").alias("title"), R.field("fields", "abstract").alias("abstract"))
+    return P.extract_terms([(chunks, "text"), (chunks.where(P.keeps_section_title(F.col("section_title"))), "section_title"), (about, "title"), (about, "abstract")], 40, protected)
 
 
 def kept_section_titles(spark: SparkSession, d: str) -> DataFrame:
     """Section titles that say something of the domain, with their rows."""
-    title = T.squeeze(F.lower("section_title"))
-    keep = (title != "") & ~title.isin(*V.SECTION_TITLES_LEFT_OUT) & (F.size(T.term_tokens(title)) > 0) & ~title.endswith(" run") & T.has_domain_signal(title)
-    return table(spark, d, "chunks").where(keep).groupBy(title.alias("title")).agg(F.count("*").alias("n"))
+    title = F.col("section_title")
+    return table(spark, d, "chunks").where(P.keeps_section_title(title)).groupBy(T.squeeze(F.lower(title)).alias("title")).agg(F.count("*").alias("n"))
 
 
 def phrase_containment(spark: SparkSession, d: str) -> DataFrame:
@@ -148,9 +150,6 @@ def _guess_sql(label: str, given: str) -> str:
 
 _TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 _NAMES = "names AS (SELECT lower(trim(unnest([label] || coalesce(aliases, [])))) nm, pos, canonical_id, label, category FROM vocab_terms), firsts AS (SELECT nm, arg_min(canonical_id, pos) found_id, arg_min(label, pos) found_label FROM names WHERE nm <> '' GROUP BY nm)"
-_PLAN = """plan AS (SELECT e.*, CASE WHEN v.canonical_id IS NULL THEN 'unresolved' WHEN g.canonical_id IS NOT NULL THEN 'existing' ELSE 'new' END planned_status FROM edge_items e
-  LEFT JOIN (SELECT DISTINCT canonical_id FROM vocab_terms) v USING (canonical_id)
-  LEFT JOIN (SELECT DISTINCT citation_key, unnest(map_keys(edges)) category, unnest(flatten(map_values(edges))) canonical_id FROM chunks WHERE false) g ON g.citation_key = e.citation_key AND g.category = e.category AND g.canonical_id = e.canonical_id)"""
 _PAGE_EDGES = "pe AS (SELECT DISTINCT citation_key, category, canonical_id FROM (SELECT citation_key, category, unnest(edges[category]) canonical_id FROM (SELECT citation_key, edges, unnest(map_keys(edges)) category FROM chunks)) WHERE canonical_id IS NOT NULL)"
 _PLAN = f"{_PAGE_EDGES}, " + """plan AS (SELECT e.*, CASE WHEN v.canonical_id IS NULL THEN 'unresolved' WHEN g.canonical_id IS NOT NULL THEN 'existing' ELSE 'new' END planned_status FROM edge_items e
   LEFT JOIN (SELECT DISTINCT canonical_id FROM vocab_terms) v USING (canonical_id) LEFT JOIN pe g ON g.citation_key = e.citation_key AND g.category = e.category AND g.canonical_id = e.canonical_id)"""
@@ -158,9 +157,12 @@ _WIKI = """w AS (SELECT canonical_id, count(DISTINCT citation_key) n_pages, min(
   v AS (SELECT canonical_id, arg_min(label, pos) AS label, arg_min(category, pos) category, arg_min(len(coalesce(aliases, [])), pos) n_aliases, true AS known FROM vocab_terms GROUP BY 1),
   j AS (SELECT w.*, label, category, n_aliases, CASE WHEN known IS NULL THEN 'not in vocabulary' WHEN NOT starts_with(w.canonical_id, 'physh:') THEN 'not in physh' END reason FROM w LEFT JOIN v USING (canonical_id))"""
 _TITLE = r"trim(regexp_replace(lower(section_title), '[\s\p{Z}]+', ' ', 'g'))"
+_COMPACT = f"regexp_replace({_TITLE}, '[^A-Za-z0-9]', '', 'g')"
+# a lower-case title looks like an acronym only without letters that have a case, which an acronym must have
+_ACRONYM = f"(length({_COMPACT}) BETWEEN 2 AND 12 AND regexp_matches({_COMPACT}, '[A-Za-z]') AND upper({_COMPACT}) = {_COMPACT})"
 QUERIES = {f.__name__: f for f in (phrase_counts, useful_phrases, undominated_phrases, extracted_terms, kept_section_titles, phrase_containment, vocabulary_lookup, similar_terms, resolved_terms, guessed_categories, category_of_mentions, term_plan, accepted_terms, status_plan, plan_summary, wiki_nodes, wiki_skipped, ids_by_category, edge_index, edge_lookup, edge_lookup_one, graph_size, chunk_edges, alias_leaks)}
 SQL = {
-    "kept_section_titles": f"SELECT {_TITLE} title, count(*) n FROM chunks WHERE {_TITLE} <> '' AND {_TITLE} NOT IN {_in(V.SECTION_TITLES_LEFT_OUT)} AND NOT ends_with({_TITLE}, ' run') AND list_has_any({_TOKENS.format(_TITLE)}, {_list(V.DOMAIN_WORDS)}) GROUP BY 1",
+    "kept_section_titles": f"SELECT {_TITLE} title, count(*) n FROM chunks WHERE {_TITLE} <> '' AND {_TITLE} NOT IN {_in(V.SECTION_TITLES_LEFT_OUT)} AND NOT ends_with({_TITLE}, ' run') AND len({_TOKENS.format(_TITLE)}) > 0 AND (list_has_any({_TOKENS.format(_TITLE)}, {_list(V.DOMAIN_WORDS)}) OR {_ACRONYM}) GROUP BY 1",
     "phrase_containment": f"WITH t AS (SELECT canonical_id, array_to_string({_TOKENS.format('label')}, ' ') norm FROM vocab_terms) SELECT a.canonical_id, b.canonical_id longer_id FROM t a JOIN t b ON a.norm <> b.norm AND contains(' ' || b.norm || ' ', ' ' || a.norm || ' ') AND a.canonical_id <> b.canonical_id",
     "vocabulary_lookup": f"WITH {_NAMES} SELECT mention_id, found_id, found_label FROM entity_mentions JOIN firsts ON nm = lower(trim(raw_term))",
     "guessed_categories": f"SELECT canonical_id, {_guess_sql('label', chr(39) * 2)} guessed, CASE WHEN contains(canonical_id, ':') THEN split_part(canonical_id, ':', 1) ELSE '' END ns FROM vocab_terms",

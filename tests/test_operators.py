@@ -1,9 +1,11 @@
 import math
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from leafmill.functions import fixed_values as V
 from leafmill.operators import chunking as C
 from leafmill.operators import context as X
 from leafmill.operators import phrases as P
@@ -93,7 +95,7 @@ def test_budget(spark):
 
 
 def test_phrases(spark):
-    df = spark.createDataFrame([("cryogenic muon detector rises\ncryogenic muon detector falls",)], "t string")
+    df = spark.createDataFrame([("cryogenic muon detector rises; cryogenic muon detector falls",)], "t string")
     counts = {r["term"]: r["count"] for r in P.phrase_counts(df, "t").collect()}
     assert counts["cryogenic muon"] >= 2
     assert all("experiments" not in t.split() for t in counts)
@@ -101,6 +103,49 @@ def test_phrases(spark):
     assert {r["term"] for r in P.undominated(useful).collect()} == {"cryogenic muon veto", "phonon flux"}
 
 
+def _phrases_by_hand(texts):
+    word = r"(?:[A-Z][A-Za-z0-9+-]{2,}|[a-z][a-z0-9+-]{3,})"
+    found = Counter()
+    for text in texts:
+        for m in re.finditer(rf"\b{word}(?:[\s/-]+{word}){{0,4}}\b", text):
+            whole = re.sub(r"\s+", " ", m[0]).strip(" -/")
+            parts, seen = whole.split(), set()
+            for n in range(len(parts), 0, -1):
+                for i in range(len(parts) - n + 1):
+                    own = parts[i : i + n]
+                    if len(whole) < 4 or (n < len(parts) and (n < 2 or len(" ".join(own)) < 4)):
+                        continue
+                    while len(own) > 1 and own[0].lower() in V.EDGE_WORDS:
+                        own = own[1:]
+                    while len(own) > 1 and own[-1].lower() in V.EDGE_WORDS + V.TRAILING_WORDS:
+                        own = own[:-1]
+                    low = " ".join(own).lower()
+                    if low not in seen and not set(low.split()) & set(V.STOPWORDS):
+                        seen.add(low)
+                        found[low] += 1
+    return found
+
+
+def test_phrase_counts_equal_a_count_by_hand(spark):
+    texts = ["The first RELICS run: low-threshold Time-Projection Chamber/veto detector, a single\nelectron signal.", "RELICS (RELICS). Ünter the über-cooled H2O2 target, phonon flux of 3 keV", "", None, "muon/neutron - background+ rate", "x" * 50 + " " + "word " * 300]
+    got = Counter()
+    for r in P.phrase_counts(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect():
+        got[r["term"].lower()] += r["count"]
+    assert got == _phrases_by_hand([t for t in texts if t])
+
+
+def test_acronyms_stay_and_fragments_go(spark):
+    df = spark.createDataFrame([("(RELICS).",)] * 5 + [("phonon flux limit",)] * 3, "t string")
+    useful = P.useful_phrases(P.phrase_counts(df, "t"))
+    assert ("RELICS", 5) in {(r["term"], r["count"]) for r in useful.collect()}
+    assert [r["term"] for r in P.extract_terms([(df, "t")], 5).collect()][0] in ("RELICS", "phonon flux limit")
+    rows = [(f"aa bb{i} cc dd", f"aa bb{i} cc dd", 9, 90.0 - i, False) for i in range(30)] + [(f"bb{i} cc", f"bb{i} cc", 9, 50.0 - i, False) for i in range(30)] + [("zz yy", "zz yy", 1, 1.0, False), ("bb3 cc dd", "bb3 cc dd", 1, 0.5, True)]
+    phrases = spark.createDataFrame(rows, "term string, norm string, count long, quality double, protected boolean")
+    for limit, front in ((40, 400), (40, 3), (5, 2), (31, 7)):
+        got = [r["term"] for r in P.without_fragments(phrases, limit, front).orderBy("rank").collect()]
+        assert got == ([f"aa bb{i} cc dd" for i in range(30)] + ["zz yy", "bb3 cc dd"])[:limit]
+    assert P.without_fragments(phrases.limit(0)).count() == 0
+
 def test_similarity_guards(spark):
     pairs = [("elastic scattering", "inelastic scattering"), ("cross section", "Cross sections"), ("muon", "Muon detector"), ("elastic neutrino scattering", "elastic neutrino scattering rates")]
     got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(W.match_score(F.col("a"), F.col("b"))).collect()]
