@@ -25,7 +25,7 @@ TFIDF_WEIGHT, BM25_WEIGHT, PHRASE_BONUS, MIN_SCORE = 0.55, 0.45, 0.05, 0.05
 EDGE_CATEGORIES = ("research_areas", "physical_systems", "techniques", "properties", "models", "observables", "datasets", "experiments")
 ALLOWED_ROUTES = ("arxiv_source", "pdf_pymupdf", "pdf_mineru")
 ROUTE_ALIASES = {"pdf_mineru": "pdf_pymupdf"}
-CHUNK_SCHEMA, MANIFEST_SCHEMA = "darw-chunk-v1", "darw-parsed-evidence-v1"
+CHUNK_SCHEMA, MANIFEST_SCHEMA, SOURCE_SCHEMA = "darw-chunk-v1", "darw-parsed-evidence-v1", "darw-source-v1"
 CHUNK_FIELDS = ("chunk_id", "doc_id", "citation_key", "source_type", "parser", "source_sha256", "section_title", "section_anchor", "text")
 MANIFEST_FIELDS = ("doc_id", "citation_key", "route", "parser", "source_sha256", "parsed_markdown", "created_at")
 FACETS = {
