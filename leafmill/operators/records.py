@@ -101,7 +101,24 @@ def multi_key_match(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return found.groupBy("key", "pos").agg(F.min(F.struct("priority", "kind", "existing_key")).alias("best")).select("key", "pos", F.col("best.kind").alias("match_kind"), F.col("best.existing_key").alias("existing_key"))
 
 
-def unique_keys(df: DataFrame, base: str, order: str) -> DataFrame:
-    """``df`` with ``unique_key``: the base for the first row of it, then ``base-2``, ``base-3`` and so on."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return df.withColumn("unique_key", F.when(n == 1, F.col(base)).otherwise(F.concat_ws("-", base, n.cast("string"))))
+def unique_keys(df: DataFrame, base: str, order: str, used: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``unique_key``: the base for the first row of it, then ``base-2``, ``base-3`` and so on.
+
+    Numbers that would give the key of another base, or of ``used`` (a table of keys that are taken), are passed over, and
+    a base that is itself taken starts with a number. Numbers are counted, not tried: the k-th free one is k and as many
+    as there are taken ones up to it.
+    """
+    bases = df.select(F.col(base).alias("_k")).distinct()
+    taken = bases if used is None else bases.unionByName(used.select(F.col(used.columns[0]).alias("_k"))).distinct()
+    numbers = taken.select(F.regexp_extract("_k", r"^(.*)-([2-9]|[1-9]\d{1,8})$", 1).alias("_b"), F.regexp_extract("_k", r"^(.*)-([2-9]|[1-9]\d{1,8})$", 2).alias("_n")).where("_n <> ''")
+    numbers = numbers.groupBy("_b").agg(F.array_sort(F.collect_set(F.col("_n").cast("int"))).alias("_taken"))
+    rows = df.join(numbers, F.col(base) == F.col("_b"), "left").withColumn("_n", F.row_number().over(Window.partitionBy(base).orderBy(order)))
+    if used is None:
+        first = F.lit(1)
+    else:
+        own = used.select(F.col(used.columns[0]).alias("_u")).where("_u IS NOT NULL").distinct()
+        rows = rows.join(own, F.col(base) == F.col("_u"), "left")
+        first = F.when(F.col("_u").isNull(), 1).otherwise(0)
+    want = F.col("_n") + 1 - first
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), want, lambda v, t: F.when(t <= v, v + 1).otherwise(v))
+    return rows.withColumn("unique_key", F.when(want == 1, F.col(base)).otherwise(F.concat_ws("-", base, free.cast("string")))).select(*df.columns, "unique_key")

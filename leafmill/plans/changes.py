@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.records import field, match_keys
+from ..operators.records import match_keys
 
 
 def import_plan(incoming: DataFrame, existing: DataFrame) -> DataFrame:
@@ -32,14 +32,17 @@ def import_plan(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 def provider_plan(records: DataFrame, found: DataFrame) -> DataFrame:
     """(key, field, old_value, new_value, action) of what a provider's rows tell about the records.
 
-    Rows belong to a record by DOI, else by arXiv id. A missing value is filled; a different one and several candidates
-    are for review; equal values give no row.
+    Rows belong to a record by DOI, else by arXiv id, and where a record has neither, or no row has it, all rows of its
+    title are its candidates. A missing value is filled; a different one and several candidates are for review; equal
+    values give no row.
     """
-    by_doi = records.where("doi <> ''").select("key", F.col("doi").alias("id"), F.lit("doi").alias("by"))
-    by_arxiv = records.where("doi = '' AND arxiv <> ''").select("key", F.col("arxiv").alias("id"), F.lit("arxiv").alias("by"))
-    told = found.select("result_id", T.normalize_doi(F.coalesce("doi", F.lit(""))).alias("doi"), T.normalize_arxiv(F.coalesce("arxiv", F.lit(""))).alias("arxiv"), F.coalesce("control_number", F.lit("")).alias("control"))
-    ids = told.select("*", F.explode(F.array(F.struct(F.lit("doi").alias("by"), F.col("doi").alias("id")), F.struct(F.lit("arxiv").alias("by"), F.col("arxiv").alias("id")))).alias("x")).select("result_id", "doi", "arxiv", "control", "x.by", "x.id").where("id <> ''")
-    pairs = by_doi.unionByName(by_arxiv).join(ids, ["by", "id"]).join(records.select("key", F.col("doi").alias("own_doi"), F.col("arxiv").alias("own_arxiv")), "key")
+    own = [("doi", F.col("doi")), ("arxiv", F.col("arxiv")), ("title", F.col("title_norm"))]
+    asked = records.select("key", F.explode(F.array(*[F.struct(F.lit(n).alias("priority"), F.lit(by).alias("by"), value.alias("id")) for n, (by, value) in enumerate(own)])).alias("x")).select("key", "x.*").where("id <> ''")
+    told = found.select("result_id", T.normalize_doi(F.coalesce("doi", F.lit(""))).alias("doi"), T.normalize_arxiv(F.coalesce("arxiv", F.lit(""))).alias("arxiv"), F.coalesce("control_number", F.lit("")).alias("control"), T.normalize_title(F.coalesce("title", F.lit(""))).alias("title_norm"))
+    ids = told.select("*", F.explode(F.array(*[F.struct(F.lit(by).alias("by"), value.alias("id")) for by, value in own])).alias("x")).select("result_id", "doi", "arxiv", "control", "x.by", "x.id").where("id <> ''")
+    met = asked.join(ids, ["by", "id"])
+    first = met.groupBy("key").agg(F.min("priority").alias("priority"))
+    pairs = met.join(first, ["key", "priority"]).join(records.select("key", F.col("doi").alias("own_doi"), F.col("arxiv").alias("own_arxiv")), "key")
     several = F.count("*").over(Window.partitionBy("key")) > 1
     fields = F.array(F.struct(F.lit("eprint").alias("field"), F.col("own_arxiv").alias("old_value"), F.col("arxiv").alias("new_value")), F.struct(F.lit("doi").alias("field"), F.col("own_doi").alias("old_value"), F.col("doi").alias("new_value")), F.struct(F.lit("inspire").alias("field"), F.lit("").alias("old_value"), F.col("control").alias("new_value")))
     rows = pairs.withColumn("several", several).select("key", "result_id", "several", F.explode(fields).alias("f")).select("key", "result_id", "several", "f.*").where("new_value <> '' AND old_value <> new_value")
@@ -82,11 +85,13 @@ def apply_delete(df: DataFrame, column: str, targets: DataFrame) -> DataFrame:
 
 
 def apply_updates(entries: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """``entries`` (id, fields as array of k, v) with the values of ``updates`` (key, field, new_value) put in, in field order.
+    """``entries`` (id, fields as array of k, v) with the values of ``updates`` (key, field, new_value, at) put in, in field order.
 
-    Updated fields keep their place, new ones follow by name. Of several updates of a field the last by name of value counts.
+    Updated fields keep their place, new ones follow by name. Of several updates of a field the last by ``at`` counts, a
+    tie by value; without ``at`` the value alone decides.
     """
-    told = updates.groupBy(F.col("key").alias(key), "field").agg(F.max("new_value").alias("v"))
+    at = F.col("at") if "at" in updates.columns else F.lit(0)
+    told = updates.groupBy(F.col("key").alias(key), "field").agg(F.max(F.struct(at.alias("at"), F.col("new_value").alias("v")))["v"].alias("v"))
     maps = told.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "v")))).alias("_new"))
     joined = entries.join(maps, key, "left").withColumn("_new", F.coalesce("_new", F.create_map().cast("map<string,string>")))
     kept = F.transform("fields", lambda x: F.struct(x["k"].alias("k"), F.coalesce(F.try_element_at("_new", x["k"]), x["v"]).alias("v")))
@@ -104,11 +109,6 @@ def merge_report(base: DataFrame, update: DataFrame, key: str, doc_id: str) -> D
     return shared.unionByName(docs)
 
 
-def edited_entries(candidates: DataFrame) -> DataFrame:
-    """(cand_id, key, title, n_fields): candidates as rows of a plan."""
-    return candidates.select("cand_id", field("entry", "id").alias("key"), field("entry", "title").alias("title"), F.size("entry").alias("n_fields"))
-
-
 def write_version(df: DataFrame, root: str) -> str:
     """Write ``df`` as a new version under ``root`` and point to it; returns its path."""
     spark = df.sparkSession

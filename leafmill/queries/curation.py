@@ -124,10 +124,9 @@ def chunk_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alias_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Aliases that are used as ids of edges."""
-    aliases = table(spark, d, "vocab_terms").select(F.explode("aliases").alias("a")).select(T.slugify(F.col("a")).alias("canonical_id"))
-    ids = table(spark, d, "edge_items").select(F.regexp_replace(F.lower(F.trim("canonical_id")), "^[a-z]+:", "").alias("canonical_id"))
-    return aliases.join(ids, "canonical_id", "left_semi").distinct()
+    """Aliases that were typed as if they were terms."""
+    aliases = table(spark, d, "vocab_terms").select(F.explode("aliases").alias("a")).select(T.slugify(F.col("a")).alias("alias"))
+    return aliases.join(table(spark, d, "entity_mentions").select(T.slugify(F.col("raw_term")).alias("alias")), "alias", "left_semi").distinct()
 
 
 def _in(words: tuple[str, ...]) -> str:
@@ -156,6 +155,7 @@ _PLAN = f"{_PAGE_EDGES}, " + """plan AS (SELECT e.*, CASE WHEN v.canonical_id IS
 _WIKI = """w AS (SELECT canonical_id, count(DISTINCT citation_key) n_pages, min(citation_key) first_page FROM edge_items WHERE canonical_id IS NOT NULL GROUP BY 1),
   v AS (SELECT canonical_id, arg_min(label, pos) AS label, arg_min(category, pos) category, arg_min(len(coalesce(aliases, [])), pos) n_aliases, true AS known FROM vocab_terms GROUP BY 1),
   j AS (SELECT w.*, label, category, n_aliases, CASE WHEN known IS NULL THEN 'not in vocabulary' WHEN NOT starts_with(w.canonical_id, 'physh:') THEN 'not in physh' END reason FROM w LEFT JOIN v USING (canonical_id))"""
+_SLUG = r"replace(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' ', '-')"
 _TITLE = r"trim(regexp_replace(lower(section_title), '[\s\p{Z}]+', ' ', 'g'))"
 _COMPACT = f"regexp_replace({_TITLE}, '[^A-Za-z0-9]', '', 'g')"
 # a lower-case title looks like an acronym only without letters that have a case, which an acronym must have
@@ -179,5 +179,5 @@ SQL = {
     "edge_lookup_one": "SELECT DISTINCT citation_key FROM edge_items WHERE canonical_id = 'local:charge-carrier-trapping' AND citation_key IS NOT NULL ORDER BY citation_key LIMIT 10",
     "graph_size": "SELECT count(DISTINCT citation_key) n_nodes, count(DISTINCT canonical_id) n_terms, count(DISTINCT (category, canonical_id, citation_key)) n_edges FROM edge_items WHERE canonical_id IS NOT NULL AND category IS NOT NULL AND citation_key IS NOT NULL",
     "chunk_edges": f"WITH {_PAGE_EDGES} SELECT * FROM pe",
-    "alias_leaks": r"SELECT DISTINCT a canonical_id FROM (SELECT replace(trim(regexp_replace(lower(unnest(aliases)), '[^\p{L}\p{N}_]+', ' ', 'g')), ' ', '-') a FROM vocab_terms) WHERE a IN (SELECT regexp_replace(lower(trim(canonical_id)), '^[a-z]+:', '') FROM edge_items WHERE canonical_id IS NOT NULL)",
+    "alias_leaks": f"SELECT DISTINCT a AS alias FROM (SELECT {_SLUG.format('unnest(aliases)')} a FROM vocab_terms) WHERE a IN (SELECT {_SLUG.format('raw_term')} FROM entity_mentions WHERE raw_term IS NOT NULL)",
 }
