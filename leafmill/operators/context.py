@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import text as T
 from ..session import cut_lineage
+from .pages import edge_pages, is_placeholder
 from .records import keep_last, manifest_records
 from .search import known_section_type, search_chunks
 
 TOP_K, BUDGET_TOKENS, CHARS_PER_TOKEN, LEAST_CHARS, CHARS_PER_CHUNK, SNIPPET = 8, 2_500, 4, 800, 900, 500
 
 
-def pack_rows(hits: DataFrame, max_chars: int | None = CHARS_PER_CHUNK) -> DataFrame:
-    """Hits as rows of a pack: ids, section, scores, the text cut to ``max_chars`` and a snippet."""
+def pack_rows(hits: DataFrame, max_chars: int | None = CHARS_PER_CHUNK, pages: DataFrame | None = None) -> DataFrame:
+    """Hits as rows of a pack: ids, section, scores, the text cut to ``max_chars``, a snippet and the page of the key, ``''`` where it has none."""
+    there = pages.select("citation_key").distinct().withColumn("_page", F.lit(True)) if pages is not None else None
+    hits = hits.withColumn("_page", F.lit(False)) if there is None else there.join(F.broadcast(hits), "citation_key", "right")  # top-k rows
     text = F.col("text") if max_chars is None else T.truncate(F.col("text"), max_chars)
     return hits.select(
-        "rank", "chunk_id", "citation_key", "doc_id", F.concat(F.lit("summary/sources/"), "citation_key", F.lit(".md")).alias("source_page"),
+        "rank", "chunk_id", "citation_key", "doc_id", F.when(F.col("_page"), F.concat(F.lit("summary/sources/"), "citation_key", F.lit(".md"))).otherwise("").alias("source_page"),
         T.evidence_path(F.col("doc_id"), "parsed").alias("parsed_markdown"), "section_anchor", "section_title", "section_type", "score", "raw_score",
         F.col("source_type").alias("route"), "equation_ids", text.alias("text"), T.truncate(F.col("text"), min(max_chars or SNIPPET, SNIPPET)).alias("snippet"),
     )
@@ -45,14 +48,19 @@ def within_budget(rows: DataFrame, size: Column, budget: int, partition: list[st
     return sized.where((F.col("running_size") <= budget) | (F.col("_n") == 1)).withColumn("cut", F.col("running_size") > budget).drop("_n")
 
 
-def fit_budget(pack: DataFrame, budget_tokens: int = BUDGET_TOKENS) -> DataFrame:
-    """The rows of a pack that fit, lowest ranks dropped; where none fits, the first with its text cut to the budget."""
+def fit_budget(pack: DataFrame, budget_tokens: int = BUDGET_TOKENS, beside: int = 0) -> DataFrame:
+    """The rows of a pack that fit beside ``beside`` characters of its other tables, lowest ranks dropped; where none fits, the first with its text cut to the budget."""
     budget = max(budget_tokens * CHARS_PER_TOKEN, LEAST_CHARS)
-    fitted = within_budget(pack, F.length(F.to_json(F.struct(*pack.columns))), budget, [], ["rank"])
+    fitted = within_budget(pack, F.length(F.to_json(F.struct(*pack.columns))), budget - beside, [], ["rank"])
     room = max(200, budget - 1000)
     return fitted.withColumns({"text": F.when(F.col("cut"), T.truncate(F.col("text"), room)).otherwise(F.col("text")), "snippet": F.when(F.col("cut"), T.truncate(F.col("snippet"), min(room, SNIPPET))).otherwise(F.col("snippet"))})
 
 
+def _size(df: DataFrame) -> int:
+    """Characters of a small table as JSON."""
+    return df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+
+
 def keys_in_order(pack: DataFrame) -> DataFrame:
     """(citation_key, best_rank): distinct keys in the order of their best hit."""
     return pack.where("citation_key <> ''").groupBy("citation_key").agg(F.min("rank").alias("best_rank"))
@@ -72,21 +80,50 @@ def compact_entries(keys: DataFrame, entries: DataFrame) -> DataFrame:
     return keys.join(records, F.col("citation_key") == F.col("key")).select("citation_key", "best_rank", "title", "author", "year", "doi", "arxiv")
 
 
-def context_pack(chunks: DataFrame, entries: DataFrame, pages: DataFrame, query: str = "", key: str = "", top_k: int = TOP_K, budget_tokens: int = BUDGET_TOKENS, compact: bool = True) -> dict[str, DataFrame]:
-    """The tables of a pack: evidence (within the budget if compact), entries, edges and gaps.
+def source_summaries(keys: DataFrame, pages: DataFrame) -> DataFrame:
+    """(citation_key, title, year, source_type, primary_evidence, metadata_only) of the pages of some keys."""
+    source = "source" in pages.columns
+    own = [F.col(f"source.{c}") if source else F.lit("").alias(c) for c in ("title", "year", "source_type", "primary_evidence")]
+    only = is_placeholder(F.col("body")) if "body" in pages.columns else F.lit(True)
+    return pages.join(F.broadcast(keys.select("citation_key")), "citation_key", "left_semi").select("citation_key", *own, only.alias("metadata_only"))
+
+
+def context_pack(chunks: DataFrame, entries: DataFrame, pages: DataFrame, query: str = "", key: str = "", top_k: int = TOP_K, budget_tokens: int = BUDGET_TOKENS, compact: bool = True, category_pages: DataFrame | None = None, hits: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of a pack: evidence, entries, pages, edges with the pages of their terms, and gaps.
 
-    Exactly one of query and key is given.
+    Exactly one of query and key is given; ``pages`` are source pages, or any table with citation_key. A compact pack
+    stays within the budget, all tables counted: evidence goes from the lowest rank on, which is a gap too. ``hits`` are
+    those of the query where they are already there.
     """
     if bool(query) == bool(key):
         raise ValueError("give a query or a key")
     if key:
         hits, order = chunks_of_key(chunks, key, top_k), ["chunk_index", "row_id"]
     else:
-        hits, order = search_chunks(chunks, query, top_k), [F.desc("score"), "row_id"]
-    hits = cut_lineage(hits)  # top_k rows that three tables are made from
-    pack = pack_rows(ranked(hits, order), CHARS_PER_CHUNK if compact else None)
-    keys = keys_in_order(pack)
-    return {"evidence": fit_budget(pack, budget_tokens) if compact else pack, "entries": compact_entries(keys, entries), "gaps": gaps(keys, entries, pages)}
+        hits, order = search_chunks(chunks, query, top_k) if hits is None else hits, [F.desc("score"), "row_id"]
+    hits = cut_lineage(hits)  # top_k rows that all tables are made from
+    pack = pack_rows(ranked(hits, order), CHARS_PER_CHUNK if compact else None, pages)
+    keys = cut_lineage(keys_in_order(pack) if not key else chunks.sparkSession.createDataFrame([(key, 1)], "citation_key string, best_rank int"))
+    found = {"entries": compact_entries(keys, entries), "pages": source_summaries(keys, pages)}
+    missing = gaps(keys, entries, pages)
+    if "edges" in pages.columns:
+        none = chunks.sparkSession.createDataFrame([], "category string, name string")
+        found["edges"] = edge_pages(pages.join(F.broadcast(keys.select("citation_key")), "citation_key", "left_semi"), category_pages if category_pages is not None else none)
+    if hits.isEmpty():
+        said = f"metadata_only: no evidence chunks for {key}" if key else "no evidence chunks matched query"
+        missing = missing.unionByName(chunks.sparkSession.createDataFrame([(key, said)], missing.schema))
+    if compact:
+        beside = sum(_size(df) for df in found.values())
+        if beside + _size(pack) > max(budget_tokens * CHARS_PER_TOKEN, LEAST_CHARS):
+            missing = missing.unionByName(chunks.sparkSession.createDataFrame([("", f"context_budget_exceeded: compact pack trimmed to about {budget_tokens} tokens")], missing.schema))
+        pack = fit_budget(pack, budget_tokens, beside)
+    return {"evidence": pack, **found, "gaps": missing}
+
+
+def hybrid_query(chunks: DataFrame, entries: DataFrame, pages: DataFrame, query: str, top_k: int = TOP_K, **options) -> dict[str, DataFrame]:
+    """The hits of a query and the pack made of them, from one search."""
+    hits = cut_lineage(search_chunks(chunks, query, top_k))
+    return {"hits": ranked(hits, [F.desc("score"), "row_id"]), **context_pack(chunks, entries, pages, query, top_k=top_k, hits=hits, **options)}
 
 
 def trace(chunks: DataFrame, manifests: DataFrame, entries: DataFrame) -> DataFrame:

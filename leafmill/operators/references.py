@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import reference_key
-from ..session import MAX_BROADCAST_BYTES, broadcast_if_small
+from ..session import MAX_BROADCAST_BYTES
 
 #: Bits of the filter for each distinct parent key; with four bits set a key, about one orphan in a hundred passes.
 BITS_PER_KEY = 14
@@ -80,9 +80,15 @@ def bloom_filter(keys: DataFrame, distinct_keys: int) -> tuple[DataFrame, int]:
 
 
 def might_contain(refs: DataFrame, filter_table: DataFrame, blocks: int, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """``refs`` with ``maybe``: false where the filter proves that the parent has no such key."""
-    side = broadcast_if_small(filter_table, blocks, BLOCK_ROW_BYTES, limit)
-    joined = _with_bits(refs, blocks).join(side, "block", "left")
+    """``refs`` with ``maybe``: false where the filter proves that the parent has no such key.
+
+    A filter beyond the limit of a broadcast meets the references under a salt, so a key that many rows have is spread.
+    """
+    if blocks * BLOCK_ROW_BYTES <= limit:
+        joined = _with_bits(refs, blocks).join(F.broadcast(filter_table), "block", "left")
+    else:
+        side = filter_table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = _with_bits(refs, blocks).withColumn("salt", F.pmod(F.xxhash64("row_id", "ref_field"), F.lit(SALTS)).cast("int")).join(side, ["block", "salt"], "left")
     found = F.lit(True)
     for w in range(WORDS):
         found = found & (F.col(f"mask{w}").bitwiseAND(F.col(f"bit{w}")) == F.col(f"bit{w}"))

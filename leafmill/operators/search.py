@@ -206,12 +206,18 @@ def local_scores(records: DataFrame, queries: Sequence[str]) -> DataFrame:
     return records.withColumn("score", best).withColumn("reasons", F.array_sort(F.array_distinct(reasons))).where("score > 0")
 
 
-def local_search(records: DataFrame, queries: Sequence[str] = (), keys: Sequence[str] = (), tags: Sequence[tuple[str, str]] = (), limit: int = 10) -> DataFrame:
-    """Records by key or by tag (an edge category and id, all of which must hold), else by the best score of the queries."""
+def local_search(records: DataFrame, queries: Sequence[str] = (), keys: Sequence[str] = (), tags: Sequence[tuple[str, str]] = (), limit: int = 10, edges: DataFrame | None = None) -> DataFrame:
+    """Records by key or by tag, else by the best score of the queries.
+
+    A tag is an edge category and id, all of which must hold; ``edges`` has citation_key, category and canonical_id.
+    """
+    if tags and edges is None:
+        raise ValueError("tags need the edges of the records")
     if keys:
         records = records.where(F.lower("key").isin(*[k.lower() for k in keys]))
     for axis, value in tags:
-        records = records.where(F.array_contains(F.col("edges")[axis], value))
+        own = edges.where((F.col("category") == axis) & (F.col("canonical_id") == value)).select(F.col("citation_key").alias("key"))
+        records = records.join(own, "key", "left_semi")
     if keys or tags:
         found = records.withColumn("score", F.lit(100 if keys else 60)).withColumn("reasons", F.array(F.lit("key" if keys else "tag")))
     else:

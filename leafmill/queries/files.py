@@ -44,14 +44,18 @@ def note_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def notes_not_yet_synced(spark: SparkSession, d: str) -> DataFrame:
-    """Items whose id no item of an earlier document with the same text has."""
-    items = note_items(spark, d)
-    return items.groupBy("text").agg(F.min(F.col("note").cast("long")).alias("first_note"), F.countDistinct("id").alias("n_ids"))
+    """Items of notes of the last tenth of days whose text no earlier note has; the earlier ones are what was synced."""
+    docs = table(spark, d, "documents").where("added_at IS NOT NULL")
+    bound = docs.agg(F.percentile_approx("added_at", 0.9, 10_000)).first()[0]
+    items = note_items(spark, d).join(docs.select(F.col("doc_id").cast("string").alias("note"), "added_at"), "note")
+    synced = items.where(F.col("added_at") < bound)
+    return items.where(F.col("added_at") >= bound).join(synced.select("text").distinct(), "text", "left_anti").select("note", "id", "line_no", "text")
 
 
 def hash_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """All numbers of each vector, rounded and joined."""
     v = S.hash_vectors(table(spark, d, "chunks").select("row_id", "text"), "row_id", "text")
-    return v.select("row_id", F.size("embedding").alias("dimensions"), F.round(F.element_at("embedding", 1), 6).alias("first"), F.round(F.element_at("embedding", 128), 6).alias("last"))
+    return v.where("embedding[0] IS NOT NULL").select("row_id", F.size("embedding").alias("dimensions"), F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x)), ",").alias("numbers"))
 
 
 def category_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -93,6 +97,7 @@ SQL = {
     "event_windows": "SELECT date_trunc('hour', ts) window_start, event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY ALL",
     "event_sessions": "SELECT user_id, min(ts) session_start, max(ts) + INTERVAL 30 MINUTE session_end, count(*) n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END fresh FROM events)) GROUP BY user_id, s",
     "first_chunk_rows": "SELECT DISTINCT chunk_id FROM chunks",
+    "hash_vectors": "WITH h AS (SELECT row_id, sha256(text || '#0') || sha256(text || '#1') || sha256(text || '#2') || sha256(text || '#3') h FROM chunks) SELECT row_id, CAST(CASE WHEN h IS NULL THEN -1 ELSE 128 END AS INTEGER) dimensions, array_to_string(list_transform(range(0, 128), lambda i: printf('%.4f', CAST('0x' || substr(h, CAST(i * 2 + 1 AS INTEGER), 2) AS INTEGER) / 127.5 - 1.0)), ',') numbers FROM h WHERE h IS NOT NULL",
     "upsert_plan": f"SELECT {_SAFE} collection, count(DISTINCT chunk_id) n_chunks, min(chunk_id) first_chunk FROM chunks WHERE doc_id IS NOT NULL GROUP BY 1",
     "category_pages": "WITH x AS (SELECT category, canonical_id, count(DISTINCT citation_key) n FROM edge_items WHERE category IS NOT NULL AND canonical_id IS NOT NULL AND citation_key IS NOT NULL GROUP BY ALL) SELECT category, string_agg('- ' || canonical_id || ' (' || n || ')', chr(10) ORDER BY canonical_id) body FROM x GROUP BY category",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import text as T
 from ..operators import context as X
+from ..operators import pages as G
 from ..operators import phrases as L
 from ..operators import records as R
 from ..operators import validation as K
@@ -16,22 +17,48 @@ from ..plans import imports as M
 from ..session import table
 from ..sources import bibtex as B
 from .records import _M, _arxiv, _doi
-from .search import QUERY
+from .search import QUERY, section_type_sql
 
 PARSERS = {"pymupdf4llm": "1.2.0", "pandoc": "3.1", "scan2md": "1.1.5"}
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Source pages of the keys that have evidence, with their edges."""
+    entries = table(spark, d, "bib_entries").join(table(spark, d, "manifests").select(F.col("citation_key").alias("id")).distinct(), "id", "left_semi")
+    return G.with_edges(G.with_evidence(G.page_skeletons(entries, "2026-01-01"), table(spark, d, "manifests")), table(spark, d, "edge_items"))
+
+
+def _pack(spark: SparkSession, d: str, **options) -> dict[str, DataFrame]:
+    terms = table(spark, d, "vocab_terms").where("retired_at IS NULL").select("category", T.page_name(F.col("canonical_id")).alias("name"))
+    return X.context_pack(table(spark, d, "chunks"), table(spark, d, "bib_entries"), _pages(spark, d), category_pages=terms, **options)
+
+
 def context_evidence(spark: SparkSession, d: str) -> DataFrame:
-    pack = X.context_pack(table(spark, d, "chunks"), table(spark, d, "bib_entries"), table(spark, d, "manifests"), QUERY)
-    return pack["evidence"].select("rank", "chunk_id", "score", "snippet", "cut")
+    return _pack(spark, d, query=QUERY)["evidence"].select("rank", "chunk_id", "source_page", "score", "snippet", "cut")
 
 
 def context_entries(spark: SparkSession, d: str) -> DataFrame:
-    return X.context_pack(table(spark, d, "chunks"), table(spark, d, "bib_entries"), table(spark, d, "manifests"), QUERY)["entries"]
+    return _pack(spark, d, query=QUERY)["entries"]
+
+
+def context_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _pack(spark, d, query=QUERY, top_k=50)["edges"]
+
+
+def context_of_key(spark: SparkSession, d: str) -> DataFrame:
+    """The pack of the key with the most chunks."""
+    key = table(spark, d, "chunks").where("citation_key <> ''").groupBy("citation_key").count().orderBy(F.desc("count"), "citation_key").first()["citation_key"]
+    return _pack(spark, d, key=key, compact=False)["evidence"].select("rank", "chunk_id", "score")
 
 
 def context_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return X.context_pack(table(spark, d, "chunks"), table(spark, d, "bib_entries"), table(spark, d, "manifests"), QUERY, top_k=50)["gaps"]
+    return _pack(spark, d, query=QUERY, top_k=50)["gaps"]
+
+
+def hybrid_query(spark: SparkSession, d: str) -> DataFrame:
+    """A query's hits, one line each."""
+    found = X.hybrid_query(table(spark, d, "chunks"), table(spark, d, "bib_entries"), _pages(spark, d), QUERY)
+    return X.rendered_hits(found["hits"])
 
 
 def running_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -272,8 +299,9 @@ _MANIFEST_RULES = _rules("coalesce(doc_id, '')", [("wrong_schema", f"coalesce(sc
 _DUPLICATES = "SELECT CAST(row_id AS VARCHAR) subject, 'duplicate_chunk_id' rule, 'error' severity, chunk_id detail FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY row_id) n FROM chunks WHERE chunk_id IS NOT NULL) WHERE n > 1"
 _CATEGORIES = "(" + ", ".join(f"'{c}'" for c in V.EDGE_CATEGORIES) + ")"
 _TARGETS = f"{_M}, tg AS (SELECT DISTINCT key FROM m WHERE title_norm <> '' AND (title_norm = 'detector' OR contains(title_norm, 'detector') OR contains('detector', title_norm)))"
-QUERIES = {f.__name__: f for f in (context_evidence, context_entries, context_gaps, running_budget, rank_in_group, keys_in_order, traced_chunks, page_summaries, topic_summary, manifest_issues, chunk_issues, vocabulary_issues, edge_issues, issues_union, keys_without_entry, cited_keys_missing, unbalanced_marks, staleness, import_plan, import_summary, provider_plan, delete_plan, applied_delete, applied_updates, merge_report, key_intersect, key_except, provider_round_trip, import_inputs, planned_imports, applied_imports, valid_cache, upserted_chunks, registered_documents, linked_attachments, suggested_edges, appended_terms, migrated_tags, cached_concepts, fallback_bibtex, coalesce_merge)}
+QUERIES = {f.__name__: f for f in (context_evidence, context_entries, context_edges, context_of_key, context_gaps, hybrid_query, running_budget, rank_in_group, keys_in_order, traced_chunks, page_summaries, topic_summary, manifest_issues, chunk_issues, vocabulary_issues, edge_issues, issues_union, keys_without_entry, cited_keys_missing, unbalanced_marks, staleness, import_plan, import_summary, provider_plan, delete_plan, applied_delete, applied_updates, merge_report, key_intersect, key_except, provider_round_trip, import_inputs, planned_imports, applied_imports, valid_cache, upserted_chunks, registered_documents, linked_attachments, suggested_edges, appended_terms, migrated_tags, cached_concepts, fallback_bibtex, coalesce_merge)}
 SQL = {
+    "context_of_key": f"WITH k AS (SELECT citation_key FROM chunks WHERE citation_key <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT CAST(row_number() OVER (ORDER BY chunk_index NULLS FIRST, row_id) AS INTEGER) rank, chunk_id, 1.0::DOUBLE score FROM chunks WHERE citation_key = (SELECT citation_key FROM k) AND {section_type_sql()} NOT IN ('references', 'metadata') ORDER BY chunk_index NULLS FIRST, row_id LIMIT 8",
     "running_budget": "SELECT citation_key, doc_id, CAST(s AS BIGINT) running_size, s > 5000 cut FROM (SELECT *, sum(n_chars) OVER w s, row_number() OVER w n FROM documents WHERE citation_key IS NOT NULL WINDOW w AS (PARTITION BY citation_key ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)) WHERE s <= 5000 OR n = 1",
     "rank_in_group": "SELECT chunk_id, row_id, doc_id, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY row_id) n FROM chunks) WHERE n = 1",
     "keys_in_order": "SELECT citation_key, min(row_id) best_rank FROM chunks WHERE citation_key <> '' GROUP BY 1",

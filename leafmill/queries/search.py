@@ -49,6 +49,10 @@ def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return S.term_frequencies(table(spark, d, "documents"), "doc_id", "text")
 
 
+def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
+    return S.corpus_stats(table(spark, d, "documents"), "text").select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+
+
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     by_kind = table(spark, d, "documents").select("doc_kind", F.size(T.tokenize(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
     return by_kind.groupBy("doc_kind").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.round(F.avg("n"), 6).alias("avg_len"))
@@ -75,6 +79,20 @@ def local_search_scores(spark: SparkSession, d: str) -> DataFrame:
     return found.select("key", "pos", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
+def local_search_by_tag(spark: SparkSession, d: str) -> DataFrame:
+    """Records with an edge to a term, the most frequent term of a category."""
+    edges = table(spark, d, "edge_items").where("citation_key IS NOT NULL AND canonical_id IS NOT NULL AND category IS NOT NULL")
+    top = edges.where("category = 'techniques'").groupBy("canonical_id").count().orderBy(F.desc("count"), "canonical_id").first()["canonical_id"]
+    found = S.local_search(manifest_records(table(spark, d, "bib_entries")), tags=[("techniques", top)], limit=20, edges=edges)
+    return found.select("key", "pos", "score", F.array_join("reasons", ",").alias("reasons"))
+
+
+def local_search_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """Records by the keys of the first search results' matches in the manifest, without case."""
+    first = table(spark, d, "bib_entries").agg(F.min("id"), F.max("id")).first()
+    return S.local_search(manifest_records(table(spark, d, "bib_entries")), keys=[first[0].upper(), first[1]], limit=20).select("key", "pos", "score")
+
+
 def query_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Words of a query in each document's text."""
     tokens = F.array(*[F.lit(w) for w in QUERY.split()])
@@ -146,7 +164,7 @@ def _hybrid_sql(query: str, most: int | None = None) -> str:
 _NORM = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 _MANIFEST = "m AS (SELECT pos, id AS key, coalesce(list_filter(fields, lambda x: x.k = 'title')[1].v, '') title, coalesce(list_filter(fields, lambda x: x.k = 'author')[1].v, '') author FROM bib_entries)"
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_chunks_topk, tfidf_topk, hybrid_scores, search_evidence, token_df, term_frequencies, corpus_stats, max_normalised, structured_search, structured_search_topk, local_search_scores, query_overlap, grep, vector_topk)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_chunks_topk, tfidf_topk, hybrid_scores, search_evidence, token_df, term_frequencies, corpus_totals, corpus_stats, max_normalised, structured_search, structured_search_topk, local_search_scores, local_search_by_tag, local_search_by_key, query_overlap, grep, vector_topk)}
 SQL = {
     "bm25_topk": f"WITH {_bm25_sql('documents', 'doc_id', QUERY)} SELECT doc_id, round(bm25, 4) score FROM bm WHERE bm25 > 0 ORDER BY score DESC, doc_id LIMIT 10",
     "bm25_chunks_topk": f"WITH {_bm25_sql('chunks', 'row_id', QUERY)} SELECT row_id, round(bm25, 4) score FROM bm WHERE bm25 > 0 ORDER BY score DESC, row_id LIMIT 20",
@@ -156,10 +174,13 @@ SQL = {
         SELECT row_id, chunk_id, citation_key, section_type, round(raw, 4) raw_score, round(score, 4) score FROM kept WHERE rn = 1 ORDER BY kept.score DESC, row_id LIMIT 10""",
     "token_df": f"WITH t AS (SELECT doc_id, unnest({_TOKENS}) term FROM documents) SELECT term, count(DISTINCT doc_id) df, count(*) cf FROM t GROUP BY term",
     "term_frequencies": f"SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest({_TOKENS}) term FROM documents) GROUP BY ALL",
+    "corpus_totals": f"SELECT count(*) n_docs, round(avg(len({_TOKENS})), 6) avg_len FROM documents",
     "corpus_stats": f"SELECT doc_kind, count(*) n_docs, CAST(sum(len({_TOKENS})) AS BIGINT) n_tokens, round(avg(len({_TOKENS})), 6) avg_len FROM documents GROUP BY doc_kind",
     "max_normalised": f"WITH {_bm25_sql('documents', 'doc_id', QUERY)} SELECT doc_id, round(bm25 / (SELECT max(bm25) FROM bm), 4) norm_score FROM bm WHERE round(bm25 / (SELECT max(bm25) FROM bm), 4) > 0",
     "structured_search": f"WITH {_MANIFEST} SELECT key, pos, CAST(CASE WHEN {_NORM.format('title')} = '{TITLE}' THEN 90 ELSE 50 END AS INTEGER) score, CASE WHEN {_NORM.format('title')} = '{TITLE}' THEN 'title' ELSE 'title-substring' END matched FROM m WHERE contains({_NORM.format('title')}, '{TITLE}')",
     "structured_search_topk": f"WITH {_MANIFEST} SELECT key, pos, CAST(CASE WHEN {_NORM.format('title')} = '{TITLE}' THEN 90 ELSE 50 END AS INTEGER) score FROM m WHERE contains({_NORM.format('title')}, '{TITLE}') ORDER BY score DESC, lower(key), key, pos LIMIT 10",
+    "local_search_by_tag": "WITH t AS (SELECT canonical_id FROM edge_items WHERE category = 'techniques' AND canonical_id IS NOT NULL AND citation_key IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT id AS key, pos, CAST(60 AS INTEGER) score, 'tag' reasons FROM bib_entries WHERE id IN (SELECT citation_key FROM edge_items WHERE category = 'techniques' AND canonical_id = (SELECT canonical_id FROM t)) ORDER BY lower(id), id LIMIT 20",
+    "local_search_by_key": "SELECT id AS key, pos, CAST(100 AS INTEGER) score FROM bib_entries WHERE lower(id) IN (SELECT lower(min(id)) FROM bib_entries UNION ALL SELECT lower(max(id)) FROM bib_entries) ORDER BY lower(id), id LIMIT 20",
     "query_overlap": "SELECT doc_id, CAST(matched AS INTEGER) matched FROM (SELECT doc_id, " + " + ".join(f"CAST(contains({_NORM.format('text')}, '{w}') AS INTEGER)" for w in QUERY.split()) + " matched FROM documents) WHERE matched > 0",
     "grep": f"SELECT doc_id, CAST(line_no AS INTEGER) line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) rn FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) line_no, regexp_replace(unnest(l), '\\r$', '') line FROM (SELECT doc_id, string_split(text, chr(10)) l FROM documents)) WHERE contains(lower(line), '{PHRASE}')) WHERE rn <= 5",
     "vector_topk": "SELECT * FROM (SELECT q.vec_id query_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) cosine, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, v.vec_id) AS INTEGER) rank FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id) WHERE rank <= 5",

@@ -17,7 +17,7 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a local one is set only where the cluster names none."""
+    """The checkpoint folder of the session; one of the local file system is set only for a local master, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if configured:
@@ -25,6 +25,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="leafmill-checkpoint-"))
     return context.getCheckpointDir()
 
