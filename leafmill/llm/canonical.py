@@ -103,12 +103,15 @@ SELECT raw_term, category, best.canonical_id, best.name AS matched_alias, best.e
 
 
 def _run(spark: SparkSession, query: str, **views: DataFrame) -> DataFrame:
-    """``query`` over DataFrames named in braces."""
+    """``query`` over DataFrames named in braces; their views go once the query is analysed."""
+    named = {name: f"canonical_{name}_{uuid.uuid4().hex}" for name in views}
     for name, df in views.items():
-        view = f"canonical_{name}_{uuid.uuid4().hex}"
-        df.createOrReplaceTempView(view)
-        query = query.replace(f"{{{name}}}", view)
-    return spark.sql(query)
+        df.createOrReplaceTempView(named[name])
+        query = query.replace(f"{{{name}}}", named[name])
+    found = spark.sql(query)
+    for view in named.values():
+        spark.catalog.dropTempView(view)
+    return found
 
 
 def map_values(mentions: DataFrame, terms: DataFrame) -> DataFrame:
@@ -119,14 +122,15 @@ def map_values(mentions: DataFrame, terms: DataFrame) -> DataFrame:
     ``match_type`` is ``exact``, ``near`` or ``none``; then the id is ``''``, the alias null and the score 0.
 
     Defined cases: null values, values without letter or digit and an empty list give ``none``; a null or blank
-    category permits all; null alias lists are empty, blanks around an alias don't count; values of more than 10,000
-    characters match only as written; repeated values each come out; other columns are never looked at.
+    category permits all; null alias lists are empty, blanks around an alias don't count; values of any length are looked
+    at, those longer than every entry by more than its edits ask for none; repeated values each come out; other columns
+    are never looked at.
     """
     spark = mentions.sparkSession
     refs = cut_lineage(_run(spark, _REFERENCES, terms=terms.select("pos", "canonical_id", "label", "category", "aliases")))
     values = cut_lineage(_run(spark, _VALUES, mentions=mentions.select("raw_term", "category")))
     exact = _run(spark, _EXACT, values=values, refs=refs)
-    rest = values.join(exact, ["raw_term", "category"], "left_anti").where("length(form) <= 10000")
+    rest = values.join(exact, ["raw_term", "category"], "left_anti")
     segments = _run(spark, _SEGMENTS, refs=refs)
     shapes = segments.select("size", "k", "seg_no", "seg_start", "seg_len").distinct()
     probes = _run(spark, _PROBES.replace("{most}", str(MOST_EDITS)), values=rest, shapes=shapes)

@@ -4,8 +4,8 @@ Each source queues its documents in shuffled order, over and over up to its cap.
 number of the source's tokens up to and with it, divided by the source's weight. Served in the order of finish times,
 every source has at any moment its share of the tokens served; the mix is the front of that order up to the budget.
 
-Neither a source nor the order is ever one task's work: running sums are taken within buckets of the shuffle order, and
-buckets are offset by the sums of the buckets before them.
+Neither a source nor the order is ever one task's work: a source's running sums are taken within buckets of the shuffle
+order, the mix is range-sorted by finish time, and buckets and ranges are offset by the sums of those before them.
 """
 
 from __future__ import annotations
@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small, cut_lineage
 from .tokens import token_count
 
-#: Documents of a source that one bucket of the shuffled order holds on average.
+#: Documents that a bucket of a source's shuffled order, and uses that a range of the mix, holds on average.
 BUCKET_ROWS = 20_000
-#: Fewest slices of virtual time up to the budget, in one of which the cut falls.
-MIN_SLICES = 1_024
 _SPREAD = 2**62
 
 
@@ -78,16 +76,19 @@ def mix_sources(df: DataFrame, targets: DataFrame, budget: int | None = None, ke
     if budget is None:
         budget = int(min((row["source_tokens"] * row["repeats"] * weights / row["weight"] for row in limits.values()), default=0))
     horizon = served_at(budget, [(row["source_tokens"] * row["repeats"], row["weight"]) for row in limits.values()])
-    slices = max(MIN_SLICES, -(-queue.count() // BUCKET_ROWS))
     uses = queue.join(broadcast_if_small(totals, len(limits), 64), "source").withColumn("use", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
     uses = uses.withColumn("finish", (F.col("upto") + (F.col("use") - 1) * F.col("source_tokens")) / F.col("weight"))
-    # what finishes long after the horizon shares one slice, which lies behind the budget
-    uses = uses.withColumn("slice", F.least(F.floor(F.col("finish") / F.lit(max(horizon, 1e-9) / slices)), F.lit(2 * slices)))
-    sums = uses.groupBy("slice").agg(F.sum("tokens").alias("in_slice"))
-    ahead = Window.partitionBy(F.lit(1)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("slice", F.coalesce(F.sum("in_slice").over(ahead), F.lit(0)).alias("offset")).where(F.col("offset") < budget)
-    within = Window.partitionBy("slice").orderBy("finish", "source", "use", "key").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = uses.join(offsets, "slice").withColumn("position", F.sum("tokens").over(within) + F.col("offset")).where(F.col("position") <= budget)
+    # a document's length after the horizon every source has served its share of the budget, so the cut lies before
+    longest = queue.join(broadcast_if_small(totals, len(limits), 64), "source").agg(F.max(F.col("tokens") / F.col("weight"))).first()[0] or 0.0
+    uses = uses.where(F.col("finish") <= horizon * (1 + 1e-9) + longest).select("key", "source", "use", "tokens", "finish")
+    order = ["finish", "source", "use", "key"]
+    ranges = max(1, -(-uses.count() // BUCKET_ROWS))
+    sorted_uses = cut_lineage(uses.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
+    sums = sorted_uses.groupBy("range").agg(F.sum("tokens").alias("in_range"))
+    ahead = Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = sums.select("range", F.coalesce(F.sum("in_range").over(ahead), F.lit(0)).alias("offset")).where(F.col("offset") < budget)
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    chosen = sorted_uses.join(broadcast_if_small(offsets, ranges, 24), "range").withColumn("position", F.sum("tokens").over(within) + F.col("offset")).where(F.col("position") <= budget)
     return chosen.select(F.col("key").alias(key), F.col("source").alias(source), "use", "tokens", "finish", "position")
 
 
