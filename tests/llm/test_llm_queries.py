@@ -10,5 +10,6 @@ def test_query_gives_what_its_sql_gives(spark, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, DATA).columns
+def test_query_without_sql_gives_rows(spark, name):
+    found = QUERIES[name](spark, DATA)
+    assert found.columns and found.count() > 0
