@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as T
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 from .pages import edge_pages, is_placeholder
 from .records import keep_last, manifest_records
 from .search import known_section_type, search_chunks
@@ -131,6 +131,7 @@ def trace(chunks: DataFrame, manifests: DataFrame, entries: DataFrame) -> DataFr
     parsed = manifests.groupBy("doc_id").agg(F.max(F.struct("created_at", "parser_version", "parsed_markdown", "citation_key")).alias("m"))
     known = entries.select(F.col("id").alias("k")).distinct()
     rows = chunks.select("row_id", "chunk_id", "doc_id", "citation_key").join(parsed, "doc_id", "left")
+    known = small_side(known)  # keys that hold a tenth of all chunks aren't shuffled where the entries are few
     by_key = known.withColumn("key_known", F.lit(True))
     rows = rows.join(by_key, F.col("citation_key") == F.col("k"), "left").drop("k")
     by_doc = known.withColumn("doc_known", F.lit(True))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as T
+from ..session import small_side
 
 
 def row_issues(df: DataFrame, subject: Column, rules: list[tuple[str, Column, Column | None]], severity: str = "error") -> DataFrame:
@@ -79,7 +80,7 @@ def edge_issues(items: DataFrame, terms: DataFrame) -> DataFrame:
 
 def unmatched_issues(df: DataFrame, subject: str, key: str, known: DataFrame, known_key: str, rule: str) -> DataFrame:
     """An issue for each row whose key, given, is not among the known ones."""
-    rows = df.where(F.coalesce(F.col(key), F.lit("")) != "").join(known.select(F.col(known_key).alias(key)).distinct(), key, "left_anti")
+    rows = df.where(F.coalesce(F.col(key), F.lit("")) != "").join(small_side(known.select(F.col(known_key).alias(key)).where(F.col(key).isNotNull()).distinct()), key, "left_anti")
     return rows.select(F.col(subject).cast("string").alias("subject"), F.lit(rule).alias("rule"), F.lit("error").alias("severity"), F.col(key).alias("detail"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import fixed_values as V
 from ..functions import text as T
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, small_side
 
 #: Least similarity at which a term is taken for a vocabulary entry.
 LEAST_SIMILARITY = 0.84
@@ -104,7 +104,7 @@ def accepted(plan: DataFrame, accept: tuple[str, ...] = (), accept_local: bool =
 
 def edge_plan(items: DataFrame, terms: DataFrame, page_edges: DataFrame) -> DataFrame:
     """``items`` with planned_status: unresolved (no such term), existing (the page has the edge) or new."""
-    have = terms.select("canonical_id").distinct().withColumn("_term", F.lit(True))
+    have = small_side(terms.select("canonical_id").distinct()).withColumn("_term", F.lit(True))
     edges = page_edges.select("citation_key", "category", "canonical_id").distinct().withColumn("_edge", F.lit(True))
     rows = items.join(have, "canonical_id", "left").join(edges, ["citation_key", "category", "canonical_id"], "left")
     return rows.withColumn("planned_status", F.when(F.col("_term").isNull(), "unresolved").when(F.col("_edge"), "existing").otherwise("new")).drop("_term", "_edge")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.records import match_keys
+from ..session import small_side
 
 
 def import_plan(incoming: DataFrame, existing: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def cascade_counts(targets: DataFrame, tables: dict[str, tuple[DataFrame, str]])
 
 def apply_delete(df: DataFrame, column: str, targets: DataFrame) -> DataFrame:
     """``df`` without the rows of deleted keys."""
-    return df.join(targets.select(F.col("key").alias(column)).distinct(), column, "left_anti")
+    return df.join(small_side(targets.select(F.col("key").alias(column)).distinct()), column, "left_anti")
 
 
 def apply_updates(entries: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:

@@ -88,7 +88,15 @@ def upsert_plan(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (bibtex_rendered, bibtex_round_trip, entry_fields, pdf_paths, note_items, note_buckets, notes_not_yet_synced, hash_vectors, category_pages, json_props, event_windows, event_sessions, first_chunk_rows, upsert_plan)}
 _LINES = "array_to_string(list_transform(list_filter(fields, lambda x: coalesce(x.v, '') <> ''), lambda x: '  ' || x.k || ' = {' || x.v || '},' || chr(10)), '')"
 _SAFE = "coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(doc_id), '[:/]', '_', 'g'), '[^a-zA-Z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown')"
+_MARK = r"(?i)^\s*(?:[-*]\s*|\d+\.\s+)?(?:\*\*)?(decision|consensus|open question|failed|dispute|finding|method)(?:\*\*)?\s*:\s*(?:\*\*)?\s*(.+)$"
+_NOTES = f"""l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) n, unnest(x) raw FROM (SELECT doc_id, string_split(text, chr(10)) x FROM documents WHERE text IS NOT NULL)),
+  h AS (SELECT doc_id, n, raw, last_value(CASE WHEN starts_with(trim(raw), '#') THEN trim(regexp_replace(trim(raw), '^#+', '')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) heading FROM l),
+  i AS (SELECT CAST(doc_id AS VARCHAR) note, CAST(n AS INTEGER) line_no, coalesce(heading, '') heading, regexp_replace(raw, '\\r$', '') line FROM h),
+  it AS (SELECT note, line_no, heading, lower(regexp_extract(line, '{_MARK}', 1)) category, trim(regexp_extract(line, '{_MARK}', 2)) AS text, regexp_extract_all(line, '\\[@([\\p{{L}}\\p{{N}}_:-]+)\\]', 1) citations FROM i WHERE regexp_matches(line, '{_MARK}')),
+  items AS (SELECT *, CASE WHEN category = 'decision' THEN 'decisions' WHEN category = 'method' THEN 'methods' WHEN category = 'failed' THEN 'failures' WHEN category IN ('open question', 'dispute') THEN 'open_questions' ELSE 'claims' END bucket, 'note:' || left(sha1(note || ':' || line_no || ':' || text), 10) id FROM it)"""
 SQL = {
+    "note_items": f"WITH {_NOTES} SELECT note, id, line_no, heading, category, bucket, text, citations FROM items",
+    "note_buckets": f"WITH {_NOTES} SELECT bucket, category, count(*) n, CAST(sum(len(citations)) AS BIGINT) n_citations FROM items GROUP BY ALL",
     "bibtex_rendered": f"SELECT id, pos, '@' || entrytype || '{{' || id || ',' || chr(10) || {_LINES} || '}}' || chr(10) bibtex FROM bib_entries",
     "bibtex_round_trip": "SELECT id || '|' || pos path, entrytype, id, lower(f.k) field, trim(f.v) AS value FROM (SELECT entrytype, id, pos, unnest(fields) f FROM bib_entries) WHERE coalesce(f.v, '') <> ''",
     "entry_fields": "SELECT entrytype, lower(f.k) field, count(*) n, count(*) FILTER (coalesce(f.v, '') <> '') n_filled FROM (SELECT entrytype, unnest(fields) f FROM bib_entries) GROUP BY ALL",

@@ -16,7 +16,7 @@ from ..plans import changes as P
 from ..plans import imports as M
 from ..session import table
 from ..sources import bibtex as B
-from .records import _M, _arxiv, _doi
+from .records import _C, _M, _RESOLVED, _arxiv, _doi, _keys
 from .search import QUERY, section_type_sql
 
 PARSERS = {"pymupdf4llm": "1.2.0", "pandoc": "3.1", "scan2md": "1.1.5"}
@@ -299,8 +299,20 @@ _MANIFEST_RULES = _rules("coalesce(doc_id, '')", [("wrong_schema", f"coalesce(sc
 _DUPLICATES = "SELECT CAST(row_id AS VARCHAR) subject, 'duplicate_chunk_id' rule, 'error' severity, chunk_id detail FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY row_id) n FROM chunks WHERE chunk_id IS NOT NULL) WHERE n > 1"
 _CATEGORIES = "(" + ", ".join(f"'{c}'" for c in V.EDGE_CATEGORIES) + ")"
 _TARGETS = f"{_M}, tg AS (SELECT DISTINCT key FROM m WHERE title_norm <> '' AND (title_norm = 'detector' OR contains(title_norm, 'detector') OR contains('detector', title_norm)))"
+_PLAN = f"""{_C}, {_M}, e AS ({_keys('m')}), i AS ({_keys('c')}), h AS (SELECT kind, v, arg_min(key, (pos, key)) old_key FROM e GROUP BY ALL),
+  f AS (SELECT i.*, old_key, first_value(pos) OVER w fp, first_value(key) OVER w fk FROM i LEFT JOIN h USING (kind, v) WINDOW w AS (PARTITION BY kind, v ORDER BY pos, key)),
+  b AS (SELECT key, pos, arg_min({{'t': target, 'k': kind}}, (late, priority, kind, target)) b FROM (SELECT *, coalesce(old_key, CASE WHEN pos > fp THEN fk END) target, old_key IS NULL late FROM f) WHERE target IS NOT NULL GROUP BY key, pos),
+  pl AS (SELECT c.key, c.pos, coalesce(b.t, '') duplicate_of, coalesce(b.k, '') duplicate_match, CASE WHEN b IS NULL THEN 'new' ELSE 'duplicate' END status FROM c LEFT JOIN b ON b.key = c.key AND b.pos = c.pos)"""
+_STALE = f"""{_M}, r AS (SELECT key, {_RESOLVED} doc_id FROM m), n AS (SELECT doc_id, max({{'c': created_at, 'p': parser, 'v': parser_version, 's': source_sha256}}) x FROM manifests GROUP BY 1),
+  h AS (SELECT doc_id, count(*) n, min(source_sha256) lo, max(source_sha256) hi FROM chunks GROUP BY 1),
+  j AS (SELECT r.*, x, h.n held, lo, hi, CASE x.p {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PARSERS.items())} END cur FROM r LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id)),
+  q AS (SELECT unnest([CASE WHEN x IS NULL THEN 'manifest_missing' END, CASE WHEN cur IS NOT NULL AND coalesce(x.v, '') <> '' AND x.v <> cur THEN 'parser_changed' END, CASE WHEN held IS NULL THEN 'chunks_missing' END, CASE WHEN x.s IS NOT NULL AND held IS NOT NULL AND (lo <> x.s OR hi <> x.s) THEN 'source_changed' END]) rule FROM j)"""
 QUERIES = {f.__name__: f for f in (context_evidence, context_entries, context_edges, context_of_key, context_gaps, hybrid_query, running_budget, rank_in_group, keys_in_order, traced_chunks, page_summaries, topic_summary, manifest_issues, chunk_issues, vocabulary_issues, edge_issues, issues_union, keys_without_entry, cited_keys_missing, unbalanced_marks, staleness, import_plan, import_summary, provider_plan, delete_plan, applied_delete, applied_updates, merge_report, key_intersect, key_except, provider_round_trip, import_inputs, planned_imports, applied_imports, valid_cache, upserted_chunks, registered_documents, linked_attachments, suggested_edges, appended_terms, migrated_tags, cached_concepts, fallback_bibtex, coalesce_merge)}
 SQL = {
+    "import_plan": f"WITH {_PLAN} SELECT * FROM pl",
+    "import_summary": f"WITH {_PLAN} SELECT status, duplicate_match, count(*) n FROM pl GROUP BY ALL",
+    "import_inputs": "SELECT CASE WHEN source = 'zip_batch' THEN 'zip' ELSE 'bib' END origin, count(*) n, count(*) FILTER (coalesce(list_filter(entry, lambda x: lower(x.k) = 'id')[-1].v, '') = '') n_without_key, CAST(sum(len(entry)) AS BIGINT) n_fields FROM import_candidates GROUP BY 1 UNION ALL SELECT 'search', count(*), 0, CAST(sum(CAST(coalesce(title, '') <> '' AS INTEGER) + CAST(array_to_string(coalesce(authors, []), ' and ') <> '' AS INTEGER) + CAST(coalesce(pub_year, '') <> '' AS INTEGER) + CAST(coalesce(doi, '') <> '' AS INTEGER) + CAST(coalesce(arxiv, '') <> '' AS INTEGER)) AS BIGINT) FROM search_results",
+    "staleness": f"WITH {_STALE} SELECT rule, 'warning' severity, count(*) n FROM q WHERE rule IS NOT NULL GROUP BY rule",
     "context_of_key": f"WITH k AS (SELECT citation_key FROM chunks WHERE citation_key <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT CAST(row_number() OVER (ORDER BY chunk_index NULLS FIRST, row_id) AS INTEGER) rank, chunk_id, 1.0::DOUBLE score FROM chunks WHERE citation_key = (SELECT citation_key FROM k) AND {section_type_sql()} NOT IN ('references', 'metadata') ORDER BY chunk_index NULLS FIRST, row_id LIMIT 8",
     "running_budget": "SELECT citation_key, doc_id, CAST(s AS BIGINT) running_size, s > 5000 cut FROM (SELECT *, sum(n_chars) OVER w s, row_number() OVER w n FROM documents WHERE citation_key IS NOT NULL WINDOW w AS (PARTITION BY citation_key ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)) WHERE s <= 5000 OR n = 1",
     "rank_in_group": "SELECT chunk_id, row_id, doc_id, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY row_id) n FROM chunks) WHERE n = 1",

@@ -40,3 +40,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if ``rows * row_bytes`` is within ``limit``, else unchanged."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def small_side(df: DataFrame, row_bytes: int = 128, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``df``, written to the checkpoint folder and counted, with a broadcast hint if it is small: a side of distinct keys
+    that rows of any skew are joined with where they lie."""
+    held = cut_lineage(df)
+    return broadcast_if_small(held, held.count(), row_bytes, limit)
