@@ -44,9 +44,9 @@ def note_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def notes_not_yet_synced(spark: SparkSession, d: str) -> DataFrame:
-    """Items of notes of the last tenth of days whose text no earlier note has; the earlier ones are what was synced."""
+    """Items of the later half of the notes whose text no earlier note has; the earlier half is what was synced."""
     docs = table(spark, d, "documents").where("added_at IS NOT NULL")
-    bound = docs.agg(F.percentile_approx("added_at", 0.9, 10_000)).first()[0]
+    bound = docs.agg(F.percentile_approx("added_at", 0.5, 10_000)).first()[0]
     items = note_items(spark, d).join(docs.select(F.col("doc_id").cast("string").alias("note"), "added_at"), "note")
     synced = items.where(F.col("added_at") < bound)
     return items.where(F.col("added_at") >= bound).join(synced.select("text").distinct(), "text", "left_anti").select("note", "id", "line_no", "text")
